@@ -80,7 +80,8 @@ def exact_groups(docs: DataFrame, bits_per_row: int = BITS_PER_ROW, max_bits: in
     probed = keyed.join(F.broadcast(_set_twice(keyed)), "_w", "left").withColumn("_maybe", _maybe()).select("_id", "_h", "_row", "_maybe")
     alone = probed.where(~F.col("_maybe")).select("_id", F.col("_id").alias("keep_id"), F.lit(1).cast("long").alias("group_size"), F.lit(True).alias("kept"), "_h")
     again = probed.where("_maybe")
-    groups = again.groupBy("_h").agg(F.count(F.lit(1)).alias("group_size"), F.min(_best()).alias("_keep"))
+    # written first, so that the join below shuffles both sides anew and can split a hot group
+    groups = materialise(again.groupBy("_h").agg(F.count(F.lit(1)).alias("group_size"), F.min(_best()).alias("_keep")), "dedup-groups")
     joined = again.join(groups, "_h").select("_id", F.col("_keep._id").alias("keep_id"), "group_size", (F.col("_keep._row") == F.col("_row")).alias("kept"), "_h")
     return alone.unionByName(joined).select(F.col("_id").alias("doc_id"), "keep_id", "group_size", "kept", F.lower(F.hex("_h")).alias("text_sha256"))
 
