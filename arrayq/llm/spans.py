@@ -61,9 +61,9 @@ class Texts:
         """With A-Z as a-z."""
         return Texts(_LOWER[self.data], self.at, self.first)
 
-    def words(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Starts and ends of all words, and for each text where its words begin (one more at the end)."""
-        inside = ~SPACE[self.data]
+    def words(self, outside: np.ndarray = SPACE) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Starts and ends of all words (runs of bytes not ``outside``), and for each text where its words begin (one more at the end)."""
+        inside = ~outside[self.data]
         before, after = np.empty_like(inside), np.empty_like(inside)
         if len(inside):
             before[0], before[1:] = False, inside[:-1]
@@ -83,6 +83,14 @@ class Texts:
         raw = (total[ends] - total[starts]) * down[starts]
         return mix(raw + (ends - starts).astype(np.uint64))
 
+    def prefix_hashes(self, starts: np.ndarray, ends: np.ndarray, sizes: tuple[int, ...]) -> list[np.ndarray]:
+        """For each size the hashes of the ranges' first bytes; a shorter range counts as padded, so it differs from the range itself."""
+        up, down = _grown(len(self.data) + 1)
+        total = np.zeros(len(self.data) + 1, np.uint64)
+        np.cumsum(_BYTE_CODES[self.data] * up[: len(self.data)], out=total[1:], dtype=np.uint64)
+        begun, back = total[starts], down[starts]
+        return [mix((total[np.minimum(starts + n, ends)] - begun) * back + np.uint64(n << 32)) for n in sizes]
+
 
 def slices(column: pa.Array, most: int = SLICE_BYTES) -> Iterator[Texts]:
     """The texts of an Arrow string column (null: empty) in runs of about ``most`` bytes."""
