@@ -100,29 +100,32 @@ def held_out(doc_id: Column) -> Column:
 
 def train(texts: list[str], labels: np.ndarray, weights: np.ndarray, steps: int = STEPS) -> Model:
     """Fits the sentence model to document labels by full-batch Adam on the noisy-or likelihood."""
-    held, owners, base = [], [], 0
-    rows: list[np.ndarray] = []
-    for part in slices(pa.array(texts, pa.large_string())):
-        s = sentences(part)
-        rows.append(np.repeat(np.arange(len(s.owner)), np.diff(s.first)) + base)
-        held.append(s.features)
-        owners.append(s.owner + part.first)
-        base += len(s.owner)
-    features, row, owner = np.concatenate(held), np.concatenate(rows), np.concatenate(owners)
-    row, flat = np.repeat(row, features.shape[1]), features.ravel()
+    y, column = labels.astype(bool), pa.array(texts, pa.large_string())
     # features that stand in clearly more toxic documents than chance has it, numbered from 0
-    y = labels.astype(bool)
-    pairs = np.unique(owner[row].astype(np.int64) * BUCKETS + flat)
-    inside, hit = y[pairs // BUCKETS], (pairs % BUCKETS).astype(np.int64)
-    seen, toxic = np.bincount(hit, minlength=BUCKETS), np.bincount(hit, weights=inside, minlength=BUCKETS)
+    seen, toxic = np.zeros(BUCKETS), np.zeros(BUCKETS)
+    for part in slices(column):
+        s = sentences(part)
+        doc = np.repeat(s.owner, np.diff(s.first)).astype(np.int64)
+        pairs = np.unique((doc[:, None] * BUCKETS + s.features).ravel())
+        hit, inside = pairs % BUCKETS, y[part.first + pairs // BUCKETS]
+        seen += np.bincount(hit, minlength=BUCKETS)
+        toxic += np.bincount(hit, weights=inside, minlength=BUCKETS)
     expected = seen * y.mean()
     known = np.flatnonzero((seen >= MIN_DOCS) & (toxic - expected > MIN_Z * np.sqrt(expected)))
-    number = np.full(BUCKETS, -1)
-    number[known] = np.arange(len(known))
-    number = number[flat]
-    row, number = row[number >= 0], number[number >= 0]
-    cells, times = np.unique(row.astype(np.int64) * max(1, len(known)) + number, return_counts=True)
-    row, number = cells // max(1, len(known)), cells % max(1, len(known))
+    numbers = np.full(BUCKETS, -1)
+    numbers[known] = np.arange(len(known))
+    cells, owners, base = [], [], 0
+    for part in slices(column):
+        s = sentences(part)
+        number = numbers[s.features]
+        at = np.repeat(np.arange(len(s.owner)), np.diff(s.first)) + base
+        cells.append((at[:, None] * max(1, len(known)) + number)[number >= 0])
+        owners.append(s.owner + part.first)
+        base += len(s.owner)
+    owner = np.concatenate(owners)
+    # (sentence, feature) cells with how often they occur
+    flat, times = np.unique(np.concatenate(cells), return_counts=True)
+    row, number = flat // max(1, len(known)), flat % max(1, len(known))
     times = times.astype(np.float64)
 
     w, bias = np.zeros(len(known) + 1), -8.0
