@@ -11,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from arrayq.llm.shared import materialise
+from arrayq.llm.shared import discard, materialise
 
 MAX_ROUNDS = 60
 
@@ -36,7 +36,8 @@ def components(links: DataFrame) -> DataFrame:
     current = links.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).where(F.col("u") != F.col("v")).distinct()
     current, before = materialise(current, "links"), None
     for _ in range(MAX_ROUNDS):
-        current = materialise(_star(_star(current, True), False), "links")
+        last, current = current, materialise(_star(_star(current, True), False), "links")
+        discard(last)
         mark = current.agg(F.count(F.lit(1)), F.expr("sum(cast(xxhash64(u, v) as decimal(38, 0)))")).first()
         if mark == before:
             break
@@ -44,4 +45,6 @@ def components(links: DataFrame) -> DataFrame:
     else:
         raise RuntimeError(f"components did not settle in {MAX_ROUNDS} rounds")
     stars = current.groupBy("u").agg(F.min("v").alias("comp")).select(F.col("u").alias("node"), "comp")
-    return materialise(stars.unionByName(stars.select(F.col("comp").alias("node"), "comp").distinct()), "components")
+    out = materialise(stars.unionByName(stars.select(F.col("comp").alias("node"), "comp").distinct()), "components")
+    discard(current)
+    return out

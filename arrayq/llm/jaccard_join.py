@@ -5,24 +5,27 @@ most ``r = 1 - percent / 100``.  Equal sets are one node.
 
 *Regions.*  Whole documents make poor first pivots: almost all of them are at
 distance 1 from each other, where no window can prune.  So the first pivots are
-single shingles, in an order that puts shingles of many documents last.  A
-document's nearest pivot is its first shingle in that order; a partner within
-``r`` may have another one nearest, but never beyond the first ``n - ceil(n *
-percent / 100) + 1``, so that is the window in which a document is replicated.
-
-*Within a region* the least document is the next pivot.  Its exact distance to
-every member links some of them; these need no comparison with each other, as
-they are in one component.  What stays outside the pivot's component is paired
-with the other members, within triangle-inequality windows: on set size (the
-distance to the set of all shingles), on the exact distances to the pivot, and
-on the counts of shingles by hash class, whose differences add up to at most
-the symmetric difference.  Regions with many left members take further pivots
-first.  Every pair that passes is checked on the full sets, so the result is
-exact.
-
-Shingles in more than ``HOT`` documents (or one in ``HOT_SHARE`` of all
-replicas, which bounds the list) go last in the order; they form regions only
-for documents that have little else.
+single shingles, in one order for all documents: shingles of frequent words
+late, and those that stand in many documents last.  A document's nearest pivot
+is its first shingle in that order; a partner within ``r`` may have another one
+nearest, but never beyond the first ``n - ceil(n * percent / 100) + 1``, so that
+is the window in which a document is replicated.  Any order gives the same
+result; this one keeps regions small where documents are not alike.
+
+*Within a region* the most central member, the one that meets the most others in
+its regions, is the next pivot.  Its exact distance to the members links some of them;
+these need no comparison with each other, as they are in one component.  What
+stays outside the pivot's component is paired with the other members, within
+triangle-inequality windows: on set size (the distance to the set of all
+shingles), on the exact distances to the pivot, on the places of the shared
+shingle in both orders (what can still be shared behind it), and on the counts
+of shingles by hash class, whose differences add up to at most the symmetric
+difference.  Regions with many left members take further pivots first.  Every
+pair that passes is checked on the full sets, so the result is exact.
+
+The list of shingles that go last (more than ``HOT`` documents, or one in
+``HOT_SHARE`` of all replicas) has at most ``HOT_SHARE`` entries, and the table
+of word frequencies ``1 << LEVEL_BITS`` bytes, whatever the corpus.
 
 Defined results: null and empty texts have no shingles and link with nothing;
 with fewer words than a shingle has, the whole sequence is one; repeated rows
@@ -41,21 +44,30 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from arrayq.llm.components import components
-from arrayq.llm.shared import materialise
-from arrayq.llm.spans import mix, shingles, slices
+from arrayq.llm.shared import arrow_map, discard, materialise
+from arrayq.llm.spans import Texts, mix, slices, windows
 
 WORDS = 5
+#: Words in a shingle at most: levels are scaled so that their sum fits a byte.
+WORDS_MOST = 10
 PERCENT = 80
-HOT = 32
-HOT_SHARE = 1_000_000
-CLASSES = 32
+HOT = 12
+HOT_SHARE = 4_000_000
+#: Shingles a hash class holds on average, at most about twice as many; and the fewest classes.
+PER_CLASS = 2
+MIN_CLASSES = 16
 #: Further pivots that large regions take before their left members are paired.
-PIVOT_ROUNDS = 2
-REGION = 64
+PIVOT_ROUNDS = 3
+#: Comparisons (left members times all members) above which a region takes a further pivot.
+REGION = 1024
+PAIRS_PER_MEMBER = 1
 #: Ids that may be broadcast (16 MB).
 BROADCAST_IDS = 2_000_000
 _KEY = ["n", "s1", "s2"]
-_SIG = "n int, s1 long, s2 long, prefix array<long>, classes array<short>, hot boolean"
+_SIG = "n int, s1 long, s2 long, prefix array<long>, classes binary, hot boolean"
+LEVEL_BITS = 20
+#: Words that a task sees less often stay at level 0.
+MIN_SEEN = 8
 
 
 def prefix_size(n: np.ndarray, percent: int) -> np.ndarray:
@@ -63,26 +75,77 @@ def prefix_size(n: np.ndarray, percent: int) -> np.ndarray:
     return np.where(n > 0, n + (-n * percent) // 100 + 1, 0)
 
 
-def _signatures(column: pa.Array, words: int, percent: int, hot: np.ndarray) -> Iterator[tuple[int, list[pa.Array]]]:
+def _levels(docs: DataFrame) -> np.ndarray:
+    """For each hash bucket of words how often they stand in all texts, as a power of two.
+
+    Every task counts its words in a table of fixed size and sends the buckets
+    that it saw more than a few times.
+    """
+    narrow = docs.select(F.col("text").cast("string").alias("text"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen = np.zeros(1 << LEVEL_BITS, np.int64)
+        for batch in batches:
+            for part in slices(batch.column(0)):
+                low = part.lowered()
+                starts, ends, _ = low.words()
+                seen += np.bincount((low.hashes(starts, ends) >> np.uint64(64 - LEVEL_BITS)).astype(np.int64), minlength=len(seen))
+        often = np.flatnonzero(seen >= MIN_SEEN)
+        yield pa.RecordBatch.from_arrays([pa.array(often), pa.array(seen[often])], ["bucket", "seen"])
+
+    counts = arrow_map(narrow, run, "bucket long, seen long").groupBy("bucket").agg(F.sum("seen").alias("seen"))
+    out = np.zeros(1 << LEVEL_BITS, np.uint8)
+    for bucket, level in counts.select("bucket", F.floor(F.log2("seen")).cast("int")).collect():
+        out[bucket] = min(level, 250 // WORDS_MOST)
+    return out
+
+
+def _own(part: Texts, words: int, levels: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The texts' distinct shingles in the common order, and their bounds.  A shingle is its words' level, then 56 bits of hash."""
+    low = part.lowered()
+    starts, ends, at = low.words()
+    hashes = low.hashes(starts, ends)
+    level = levels[(hashes >> np.uint64(64 - LEVEL_BITS)).astype(np.int64)].astype(np.uint64)
+    sums = np.concatenate((np.zeros(1, np.uint64), np.cumsum(level, dtype=np.uint64)))
+    low56, top = np.uint64((1 << 56) - 1), np.uint64(56)
+    rolled = windows(hashes, words)
+    keys = (rolled & low56) | ((sums[words:] - sums[:-words])[: len(rolled)] << top)
+    out = []
+    for i in range(len(at) - 1):
+        a, b = int(at[i]), int(at[i + 1])
+        if b - a >= words:
+            own = np.sort(keys[a : b - words + 1])
+            out.append(own[np.concatenate(([True], own[1:] != own[:-1]))])
+        elif b > a:
+            out.append((mix(windows(hashes[a:b], b - a) + np.uint64(b - a)) & low56) | ((sums[b] - sums[a]) << top))
+        else:
+            out.append(keys[:0])
+    return np.concatenate([*out, keys[:0]]), np.concatenate(([0], np.cumsum([len(x) for x in out], dtype=np.int64)))
+
+
+def _set_hashes(total: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """128 bits that tell sets apart."""
+    out = []
+    for salted in (total, total * np.uint64(0xD6E8FEB86659FD93) + np.uint64(1)):
+        sums = np.concatenate((np.zeros(1, np.uint64), np.cumsum(mix(salted), dtype=np.uint64)))
+        out.append(sums[bounds[1:]] - sums[bounds[:-1]])
+    return out[0], out[1]
+
+
+def _signatures(column: pa.Array, words: int, percent: int, levels: np.ndarray, hot: np.ndarray) -> Iterator[tuple[int, list[pa.Array]]]:
     """For runs of texts: set size, 128-bit set hash, replicated shingles, counts by class, whether a hot shingle counts."""
     for part in slices(column):
-        low = part.lowered()
-        starts, ends, at = low.words()
-        own = list(shingles(low.hashes(starts, ends), at, words))
-        n = np.array([len(x) for x in own], np.int64)
-        total = np.concatenate([*own, np.zeros(0, np.uint64)])
-        bounds = np.concatenate(([0], np.cumsum(n)))
-        full = np.flatnonzero(n)
-        s1, s2 = np.zeros(len(own), np.uint64), np.zeros(len(own), np.uint64)
-        if len(full):
-            s1[full] = np.add.reduceat(mix(total), bounds[full])
-            s2[full] = np.add.reduceat(mix(total * np.uint64(0xD6E8FEB86659FD93) + np.uint64(1)), bounds[full])
+        total, bounds = _own(part, words, levels)
+        n = np.diff(bounds)
+        s1, s2 = _set_hashes(total, bounds)
         size = prefix_size(n, percent)
-        owner = np.repeat(np.arange(len(own)), n)
-        classes = np.bincount(owner * CLASSES + (total & np.uint64(CLASSES - 1)).astype(np.int64), minlength=len(own) * CLASSES)
+        owner = np.repeat(np.arange(len(n)), n)
+        n_classes = 1 << np.ceil(np.log2(np.maximum(n / PER_CLASS, MIN_CLASSES))).astype(np.int64)
+        class_at = np.concatenate(([0], np.cumsum(n_classes)))
+        classes = np.bincount(class_at[owner] + (total & (n_classes[owner] - 1).astype(np.uint64)).astype(np.int64), minlength=class_at[-1])
         rank = np.arange(len(total)) - bounds[owner]
         plain = rank < size[owner]
-        touched = np.zeros(len(own), bool)
+        touched = np.zeros(len(n), bool)
         if len(hot) and len(total):
             place = np.minimum(np.searchsorted(hot, total), len(hot) - 1)
             is_hot = hot[place] == total
@@ -93,31 +156,33 @@ def _signatures(column: pa.Array, words: int, percent: int, hot: np.ndarray) ->
             cold_all = cold_before[bounds[1:]] - cold_before[bounds[:-1]]
             rank = np.where(is_hot, cold_all[owner] + rank - cold_rank, cold_rank)
             plain = rank < size[owner]
-        chosen = total[plain]
+        # in order of rank, which a reader counts on
+        at = np.flatnonzero(plain)
+        chosen = total[at[np.lexsort((rank[at], owner[at]))]]
         per = np.concatenate(([0], np.cumsum(np.minimum(size, n))))
         yield part.first, [
             pa.array(n.astype(np.int32)), pa.array(s1.view(np.int64)), pa.array(s2.view(np.int64)),
             pa.ListArray.from_arrays(pa.array(per, pa.int32()), pa.array(chosen.view(np.int64))),
-            pa.ListArray.from_arrays(pa.array(np.arange(len(own) + 1) * CLASSES, pa.int32()), pa.array(np.minimum(classes, 32767).astype(np.int16))),
+            pa.Array.from_buffers(pa.binary(), len(n), [None, pa.py_buffer(class_at.astype(np.int32).tobytes()), pa.py_buffer(np.minimum(classes, 255).astype(np.uint8).tobytes())]),
             pa.array(touched),
         ]
 
 
-def _signed(docs: DataFrame, words: int, percent: int, hot: np.ndarray) -> DataFrame:
+def _signed(docs: DataFrame, words: int, percent: int, levels: np.ndarray, hot: np.ndarray) -> DataFrame:
     """Signatures of all documents; with a hot list, of those only whose replicas it changes."""
     narrow = docs.select("doc_id", F.col("text").cast("string").alias("text"))
     names = ["doc_id", *(x.split()[0] for x in _SIG.split(", "))]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for first, made in _signatures(batch.column(1), words, percent, hot):
+            for first, made in _signatures(batch.column(1), words, percent, levels, hot):
                 out = pa.RecordBatch.from_arrays([batch.column(0).slice(first, len(made[0])), *made], names)
                 yield out.filter(made[-1]) if len(hot) else out
 
-    return narrow.mapInArrow(run, f"doc_id {narrow.schema['doc_id'].dataType.simpleString()}, {_SIG}")
+    return arrow_map(narrow, run, f"doc_id {narrow.schema['doc_id'].dataType.simpleString()}, {_SIG}")
 
 
-def _sets(docs: DataFrame, wanted: DataFrame, words: int) -> DataFrame:
+def _sets(docs: DataFrame, wanted: DataFrame, words: int, levels: np.ndarray) -> DataFrame:
     """(node, shingles) of the wanted nodes (node, doc_id, n, s1, s2), from the texts of their first rows."""
     few = wanted.count() <= BROADCAST_IDS
     ids = wanted.select(F.col("doc_id").alias("_wanted")).distinct()
@@ -127,26 +192,33 @@ def _sets(docs: DataFrame, wanted: DataFrame, words: int) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in slices(batch.column(0)):
-                low = part.lowered()
-                starts, ends, at = low.words()
-                own = list(shingles(low.hashes(starts, ends), at, words))
-                bounds = np.concatenate(([0], np.cumsum([len(x) for x in own])))
-                total = np.concatenate([*own, np.zeros(0, np.uint64)])
-                s1 = [int(mix(x).sum(dtype=np.uint64).view(np.int64)) for x in own]
-                s2 = [int(mix(x * np.uint64(0xD6E8FEB86659FD93) + np.uint64(1)).sum(dtype=np.uint64).view(np.int64)) for x in own]
-                yield pa.RecordBatch.from_arrays([pa.array(np.diff(bounds).astype(np.int32)), pa.array(s1, pa.int64()), pa.array(s2, pa.int64()), pa.ListArray.from_arrays(pa.array(bounds, pa.int32()), pa.array(total.view(np.int64)))], [*_KEY, "shingles"])
-
-    made = narrow.select("text").mapInArrow(run, "n int, s1 long, s2 long, shingles array<long>")
+                total, bounds = _own(part, words, levels)
+                s1, s2 = _set_hashes(total, bounds)
+                yield pa.RecordBatch.from_arrays([pa.array(np.diff(bounds).astype(np.int32)), pa.array(s1.view(np.int64)), pa.array(s2.view(np.int64)), pa.ListArray.from_arrays(pa.array(bounds, pa.int32()), pa.array(total.view(np.int64)))], [*_KEY, "shingles"])
+
+    made = arrow_map(narrow.select("text"), run, "n int, s1 long, s2 long, shingles array<long>")
     return materialise(made.join(wanted, _KEY).select("node", "shingles").dropDuplicates(["node"]), "jaccard-sets")
 
 
+def _apart(x: pa.Buffer, y: pa.Buffer) -> int:
+    """Least possible size of a symmetric difference, from counts by hash class; the finer counts are folded to the coarser."""
+    a, b = np.frombuffer(x, np.uint8).astype(np.int64), np.frombuffer(y, np.uint8).astype(np.int64)
+    while len(a) > len(b):
+        a = a[: len(a) // 2] + a[len(a) // 2 :]
+    while len(b) > len(a):
+        b = b[: len(b) // 2] + b[len(b) // 2 :]
+    return int(np.abs(a - b).sum())
+
+
 class _Join:
     """The state of one join: nodes, and the exact results of the pairs checked so far."""
 
     def __init__(self, docs: DataFrame, words: int, percent: int) -> None:
         self.docs, self.words, self.percent = docs, words, percent
-        spark = docs.sparkSession
-        signed = _signed(docs, words, percent, np.zeros(0, np.uint64)).withColumn("row", F.monotonically_increasing_id())
+        if not 1 <= words <= WORDS_MOST:
+            raise ValueError(f"shingles have 1 to {WORDS_MOST} words")
+        self.levels = _levels(docs)
+        signed = _signed(docs, words, percent, self.levels, np.zeros(0, np.uint64)).withColumn("row", F.monotonically_increasing_id())
         self.rows = materialise(signed, "jaccard-rows")
         full = self.rows.where("n > 0")
         self.groups = materialise(full.groupBy(*_KEY).agg(F.min("row").alias("node")), "jaccard-groups")
@@ -157,28 +229,40 @@ class _Join:
         hot = [r.token for r in replicas.groupBy("token").agg(F.count(F.lit(1)).alias("c")).where(F.col("c") > max(HOT, total // HOT_SHARE)).select("token").collect()]
         if hot:  # at most HOT_SHARE of them
             order = np.sort(np.array(hot, np.int64).view(np.uint64))
-            anew = _signed(docs, words, percent, order).select(*_KEY, F.col("prefix").alias("_anew")).dropDuplicates(_KEY)
-            nodes = materialise(nodes.join(anew, _KEY, "left").withColumn("prefix", F.coalesce("_anew", "prefix")).drop("_anew"), "jaccard-nodes")
-        self.nodes, self.spark = nodes, spark
+            anew = _signed(docs, words, percent, self.levels, order).select(*_KEY, F.col("prefix").alias("_anew")).dropDuplicates(_KEY)
+            first, nodes = nodes, materialise(nodes.join(anew, _KEY, "left").withColumn("prefix", F.coalesce("_anew", "prefix")).drop("_anew"), "jaccard-nodes")
+            discard(first)
+        self.nodes = nodes
         self.links: DataFrame | None = None
 
-    def _near(self, n1: Column, n2: Column) -> Column:
-        return F.least(n1, n2) * 100 >= F.greatest(n1, n2) * self.percent
+    def _near(self, n1: Column, at1: Column, n2: Column, at2: Column) -> Column:
+        """Whether sets of these sizes can link if a shingle at these places is the first they share."""
+        behind = F.least(n1 - at1, n2 - at2).cast("long")
+        return (F.least(n1, n2).cast("long") * 100 >= F.greatest(n1, n2).cast("long") * self.percent) & (behind * (100 + self.percent) >= (n1 + n2).cast("long") * self.percent)
 
     def check(self, pairs: DataFrame) -> DataFrame:
         """Exact intersections of distinct pairs (a, b) that pass the class counts: a, b, shared, n1, n2."""
         side = self.nodes.select("node", "n", "classes")
         both = pairs.join(side.select(F.col("node").alias("a"), F.col("n").alias("n1"), F.col("classes").alias("c1")), "a").join(side.select(F.col("node").alias("b"), F.col("n").alias("n2"), F.col("classes").alias("c2")), "b")
-        apart = F.aggregate(F.zip_with("c1", "c2", lambda x, y: F.abs(x.cast("int") - y.cast("int"))), F.lit(0), lambda s, x: s + x)
-        # |x ^ y| = n1 + n2 - 2 |x & y|, and |x & y| >= percent / (100 + percent) * (n1 + n2)
-        likely = both.where(apart * (100 + self.percent) <= (F.col("n1") + F.col("n2")) * (100 - self.percent)).select("a", "b", "n1", "n2")
-        likely = materialise(likely, "jaccard-likely")
+        percent = self.percent
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                n1, n2, c1, c2 = (batch.column(k) for k in (2, 3, 4, 5))
+                sizes = n1.to_numpy(zero_copy_only=False).astype(np.int64) + n2.to_numpy(zero_copy_only=False)
+                apart = np.array([_apart(x.as_buffer(), y.as_buffer()) for x, y in zip(c1, c2, strict=True)], np.int64)
+                # |x ^ y| = n1 + n2 - 2 |x & y|, and |x & y| >= percent / (100 + percent) * (n1 + n2)
+                yield batch.select([0, 1, 2, 3]).filter(pa.array(apart * (100 + percent) <= sizes * (100 - percent)))
+
+        likely = materialise(arrow_map(both.select("a", "b", "n1", "n2", "c1", "c2"), run, "a long, b long, n1 int, n2 int"), "jaccard-likely")
         ends = likely.select(F.col("a").alias("node")).unionByName(likely.select(F.col("b").alias("node"))).distinct()
         wanted = materialise(self.nodes.join(ends, "node").select("node", "doc_id", *_KEY), "jaccard-wanted")
-        sets = _sets(self.docs, wanted, self.words)
+        sets = _sets(self.docs, wanted, self.words, self.levels)
         with_a = likely.join(sets.select(F.col("node").alias("a"), F.col("shingles").alias("x")), "a")
         with_b = with_a.join(sets.select(F.col("node").alias("b"), F.col("shingles").alias("y")), "b")
-        return materialise(with_b.select("a", "b", "n1", "n2", F.size(F.array_intersect("x", "y")).alias("shared")), "jaccard-checked")
+        out = materialise(with_b.select("a", "b", "n1", "n2", F.size(F.array_intersect("x", "y")).alias("shared")), "jaccard-checked")
+        discard(likely, wanted, sets)
+        return out
 
     def linked(self, checked: DataFrame) -> DataFrame:
         shared, union = F.col("shared"), F.col("n1") + F.col("n2") - F.col("shared")
@@ -193,13 +277,19 @@ class _Join:
 
     def run(self) -> DataFrame:
         """(node, comp) of all nodes in a component of more than one node."""
-        replicas = self.nodes.select(F.explode("prefix").alias("token"), "node", "n")
-        heads = replicas.groupBy("token").agg(F.count(F.lit(1)).alias("c"), F.min(F.struct("node", "n")).alias("p")).where("c > 1")
-        heads = materialise(heads.select("token", F.col("p.node").alias("pivot"), F.col("p.n").alias("pivot_n")), "jaccard-pivots")
-        members = materialise(replicas.join(heads, "token"), "jaccard-members")
+        replicas = self.nodes.select(F.posexplode("prefix").alias("at", "token"), "node", "n")
+        sizes = materialise(replicas.groupBy("token").agg(F.count(F.lit(1)).alias("c")).where("c > 1"), "jaccard-regions")
+        members = materialise(replicas.join(sizes, "token"), "jaccard-members")
+        # the more others a document meets in its regions, the fewer shingles of its own it has
+        central = members.groupBy("node").agg(F.sum("c").alias("meets"))
+        members = materialise(members.join(central, "node"), "jaccard-members")
+        best = F.max(F.struct("meets", "node", "n", "at")).alias("p")
+        heads = materialise(members.groupBy("token").agg(best).select("token", F.col("p.node").alias("pivot"), F.col("p.n").alias("pivot_n"), F.col("p.at").alias("pivot_at")), "jaccard-pivots")
+        members = materialise(members.join(heads, "token"), "jaccard-members")
+        total = members.count()
         checked, comps = None, None
         for step in range(1 + PIVOT_ROUNDS):
-            stars = members.where((F.col("node") != F.col("pivot")) & self._near(F.col("n"), F.col("pivot_n"))).select(F.greatest("node", "pivot").alias("a"), F.least("node", "pivot").alias("b")).distinct()
+            stars = members.where((F.col("node") != F.col("pivot")) & self._near(F.col("n"), F.col("at"), F.col("pivot_n"), F.col("pivot_at"))).select(F.greatest("node", "pivot").alias("a"), F.least("node", "pivot").alias("b")).distinct()
             if checked is not None:
                 stars = stars.join(checked.select("a", "b"), ["a", "b"], "left_anti")
             found = self.check(stars)
@@ -211,26 +301,30 @@ class _Join:
             members = members.drop("pivot_comp").join(pivots, "pivot", "left").withColumn("pivot_comp", F.coalesce("pivot_comp", "pivot"))
             members = materialise(members, "jaccard-members")
             left = members.where(F.col("comp") != F.col("pivot_comp"))
-            open_regions = materialise(left.groupBy("token").agg(F.count(F.lit(1)).alias("left"), F.min(F.struct("node", "n")).alias("p")), "jaccard-open")
-            members = members.join(open_regions.select("token", "left", F.col("p.node").alias("_next"), F.col("p.n").alias("_next_n")), "token")
-            large = F.col("left") > REGION
-            if step == PIVOT_ROUNDS or not open_regions.where(large).limit(1).count():
+            open_regions = materialise(left.groupBy("token").agg(F.count(F.lit(1)).alias("left"), best), "jaccard-open")
+            members = members.join(open_regions.select("token", "left", F.col("p.node").alias("_next"), F.col("p.n").alias("_next_n"), F.col("p.at").alias("_next_at")), "token")
+            large = F.col("left") * F.col("c") > REGION
+            # pairing compares what is left with all members; further pivots pay where that outgrows the members
+            work = members.where(large).agg(F.sum("left")).first()[0] or 0
+            if step == PIVOT_ROUNDS or work <= PAIRS_PER_MEMBER * total:
                 break
             # small regions keep their pivot and wait; large ones take the least member that is left
-            members = members.withColumn("pivot", F.when(large, F.col("_next")).otherwise(F.col("pivot"))).withColumn("pivot_n", F.when(large, F.col("_next_n")).otherwise(F.col("pivot_n"))).drop("left", "_next", "_next_n")
-        return self._pair(members.drop("left", "_next", "_next_n"), checked)
+            for own, new in (("pivot", "_next"), ("pivot_n", "_next_n"), ("pivot_at", "_next_at")):
+                members = members.withColumn(own, F.when(large, F.col(new)).otherwise(F.col(own)))
+            members = members.drop("left", "_next", "_next_n", "_next_at")
+        return self._pair(members.drop("left", "_next", "_next_n", "_next_at"), checked)
 
     def _pair(self, members: DataFrame, checked: DataFrame) -> DataFrame:
         """Pairs what lies outside its region's pivot component with all other members, checks, and closes the components."""
         distance = checked.select("a", "b", (1 - F.col("shared") / (F.col("n1") + F.col("n2") - F.col("shared"))).alias("d"))
-        members = members.withColumn("_a", F.greatest("node", "pivot")).withColumn("_b", F.least("node", "pivot")).join(distance.select(F.col("a").alias("_a"), F.col("b").alias("_b"), "d"), ["_a", "_b"], "left").select("token", "node", "n", "comp", "pivot_comp", "d")
+        members = members.withColumn("_a", F.greatest("node", "pivot")).withColumn("_b", F.least("node", "pivot")).join(distance.select(F.col("a").alias("_a"), F.col("b").alias("_b"), "d"), ["_a", "_b"], "left").select("token", "node", "n", "at", "comp", "pivot_comp", "d")
         members = materialise(members, "jaccard-members")
         x, y = members.where(F.col("comp") != F.col("pivot_comp")).alias("x"), members.alias("y")
         r = 1 - self.percent / 100 + 1e-9
         window = F.coalesce(F.abs(F.col("x.d") - F.col("y.d")) <= r, F.lit(True))
         outside = F.col("y.comp") != F.col("y.pivot_comp")
         once = ~outside | (F.col("x.node") < F.col("y.node"))
-        pairs = x.join(y, (F.col("x.token") == F.col("y.token")) & (F.col("x.comp") != F.col("y.comp")) & once & self._near(F.col("x.n"), F.col("y.n")) & window)
+        pairs = x.join(y, (F.col("x.token") == F.col("y.token")) & (F.col("x.comp") != F.col("y.comp")) & once & self._near(F.col("x.n"), F.col("x.at"), F.col("y.n"), F.col("y.at")) & window)
         pairs = pairs.select(F.greatest("x.node", "y.node").alias("a"), F.least("x.node", "y.node").alias("b")).distinct()
         pairs = pairs.join(checked.select("a", "b"), ["a", "b"], "left_anti")
         found = self.check(pairs)

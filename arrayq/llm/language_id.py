@@ -28,6 +28,7 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from arrayq.llm.shared import arrow_map
 from arrayq.llm.spans import slices
 
 WINDOW = 128
@@ -199,7 +200,7 @@ def predict(docs: DataFrame, network: Network | None) -> DataFrame:
             found, score = _score(network, batch.column(1))
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array(found, pa.string()), pa.array(score, pa.float64())], ["doc_id", "held_out", "lang_pred", "score"])
 
-    return narrow.mapInArrow(run, f"doc_id {kind}, held_out boolean, lang_pred string, score double")
+    return arrow_map(narrow, run, f"doc_id {kind}, held_out boolean, lang_pred string, score double")
 
 
 def identify(docs: DataFrame, sample: int = SAMPLE) -> DataFrame:
@@ -219,4 +220,4 @@ def language_filter(docs: DataFrame, sample: int = SAMPLE, min_score: float = MI
             keep = np.array([f != UNKNOWN and s >= min_score for f, s in zip(found, score, strict=True)], bool)
             yield batch.filter(pa.array(keep))
 
-    return docs.mapInArrow(run, schema)
+    return arrow_map(docs, run, schema)

@@ -33,7 +33,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from arrayq.llm.shared import materialise
+from arrayq.llm.shared import arrow_map, materialise
 
 CAPACITY = 4096
 END_ID = 1
@@ -133,7 +133,7 @@ def pieces(docs: DataFrame, path: str | None = None, capacity: int = CAPACITY, e
                 yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(at)), *(pa.array(x, k) for x, k in zip(rest, kinds, strict=True))], names)
 
     kind = narrow.schema["doc_id"].dataType.simpleString()
-    return narrow.mapInArrow(run, f"doc_id {kind}, piece int, start long, length long, ids_crc32 long")
+    return arrow_map(narrow, run, f"doc_id {kind}, piece int, start long, length long, ids_crc32 long")
 
 
 Bin = tuple[tuple[int, ...], int]  # the lengths in a sequence, and how many sequences are filled so
@@ -191,7 +191,6 @@ def _best_fit(counts: np.ndarray, capacity: int) -> list[Bin]:
     for length in range(capacity, 0, -1):
         left = int(counts[length])
         counts[length] = 0
-        made: list[tuple[int, Bin]] = []
         while left:
             # gaps only ever shrink, and lengths fall, so all open gaps are looked at in rising order
             skipped, gap = [], None
@@ -209,18 +208,18 @@ def _best_fit(counts: np.ndarray, capacity: int) -> list[Bin]:
             if gap is not None and not open_bins[gap]:
                 del open_bins[gap]
             room = gap if gap is not None else capacity
-            each = 1 if gap is not None or left < times * (room // length) else room // length
+            # a sequence that took a piece is the best fit for the next of the same length, until it is full
+            each = min(left, room // length)
             used = min(times, left // each)
             if used < times and gap is not None:
                 if gap not in open_bins:
                     heappush(gaps, gap)
                 open_bins.setdefault(gap, []).append((lengths, times - used))
             left -= used * each
-            made.append((room - each * length, (lengths + (length,) * each, used)))
-            g, b = made.pop()
-            if g not in open_bins:
-                heappush(gaps, g)
-            open_bins.setdefault(g, []).append(b)
+            rest = room - each * length
+            if rest not in open_bins:
+                heappush(gaps, rest)
+            open_bins.setdefault(rest, []).append((lengths + (length,) * each, used))
     return [b for bins in open_bins.values() for b in bins]
 
 
@@ -283,4 +282,4 @@ def place(cut: DataFrame, capacity: int = CAPACITY) -> DataFrame:
             yield pa.RecordBatch.from_arrays([*kept, pa.array(runs[at, 3] + rank - runs[at, 1]), pa.array(runs[at, 4])], names)
 
     schema = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in cut.schema)
-    return ranked.mapInArrow(run, f"{schema}, sequence_id long, offset long")
+    return arrow_map(ranked, run, f"{schema}, sequence_id long, offset long")

@@ -35,6 +35,8 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from arrayq.llm.shared import arrow_map
+
 SPACE = "▁"
 CACHE_UNITS = 600_000
 #: Characters of new units that are indexed together.
@@ -269,7 +271,7 @@ def encode_documents(docs: DataFrame, path: str | None = None) -> DataFrame:
                 crc = pa.array([zlib.crc32(x) for x in ids], pa.int64())
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(first, len(texts)), pa.ListArray.from_arrays(at, flat), pa.array(n), crc, pa.array(same)], ["doc_id", "ids", "n_ids", "ids_crc32", "round_trip"])
 
-    return narrow.mapInArrow(run, f"doc_id {narrow.schema['doc_id'].dataType.simpleString()}, ids array<int>, n_ids long, ids_crc32 long, round_trip boolean")
+    return arrow_map(narrow, run, f"doc_id {narrow.schema['doc_id'].dataType.simpleString()}, ids array<int>, n_ids long, ids_crc32 long, round_trip boolean")
 
 
 def decode_documents(encoded: DataFrame, path: str | None = None) -> DataFrame:
@@ -283,4 +285,4 @@ def decode_documents(encoded: DataFrame, path: str | None = None) -> DataFrame:
             made = [codec.decode(np.array(x or [], "<i4").tobytes()) for x in batch.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(made, pa.string())], ["doc_id", "text"])
 
-    return narrow.mapInArrow(run, f"doc_id {narrow.schema['doc_id'].dataType.simpleString()}, text string")
+    return arrow_map(narrow, run, f"doc_id {narrow.schema['doc_id'].dataType.simpleString()}, text string")

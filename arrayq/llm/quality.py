@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from arrayq.llm.shared import materialise
+from arrayq.llm.shared import arrow_map, materialise
 from arrayq.llm.spans import Texts, mix, sequences, slices, windows
 
 MIN_WORDS = 50
@@ -106,7 +106,7 @@ def _profiles(docs: DataFrame, host: str) -> DataFrame:
                 own = batch.slice(part.first, len(part))
                 yield pa.RecordBatch.from_arrays([*(own.column(own.schema.get_field_index(c)) for c in kept), *_profile(part)], names)
 
-    return materialise(narrow.mapInArrow(run, f"doc_id {id_type}, host string, row long, row_key long, {_SCHEMA}"), "quality-profiles")
+    return materialise(arrow_map(narrow, run, f"doc_id {id_type}, host string, row long, row_key long, {_SCHEMA}"), "quality-profiles")
 
 
 def _host(host: str) -> Column:

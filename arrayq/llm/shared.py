@@ -10,8 +10,11 @@ import atexit
 import shutil
 import tempfile
 import uuid
+from collections.abc import Callable, Iterator
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import types as T
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -41,11 +44,35 @@ def materialise(df: DataFrame, label: str) -> DataFrame:
     spark = df.sparkSession
     path = new_path(spark, label)
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out.written_at = path
+    return out
 
 
-def delete(spark: SparkSession, path: str) -> None:
-    """Remove a path of the shared folder once nothing reads it any more."""
-    jvm = spark.sparkContext._jvm
-    target = jvm.org.apache.hadoop.fs.Path(path)
-    target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(target, True)
+#: Bytes of rows that go to a Python worker at once.
+BATCH_BYTES = 4 << 20
+
+
+def arrow_map(df: DataFrame, run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema: str | T.StructType) -> DataFrame:
+    """``df.mapInArrow`` in batches of few bytes, so that long texts do not fill an executor's memory.
+
+    Sets ``spark.sql.execution.arrow.maxBytesPerBatch`` on the session where it is larger.
+    """
+    conf, name = df.sparkSession.conf, "spark.sql.execution.arrow.maxBytesPerBatch"
+    if int((conf.get(name, "67108864b") or "67108864b").rstrip("bB")) > BATCH_BYTES:
+        conf.set(name, str(BATCH_BYTES))
+    return df.mapInArrow(run, schema)
+
+
+def discard(*written: DataFrame) -> None:
+    """Deletes tables that :func:`materialise` wrote, once nothing reads them any more.
+
+    Also lets the driver collect what it no longer refers to: only then do
+    executors drop the shuffle files of finished steps.
+    """
+    for df in written:
+        spark = df.sparkSession
+        target = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(df.written_at)
+        target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(target, True)
+    if written:
+        written[0].sparkSession.sparkContext._jvm.System.gc()

@@ -27,6 +27,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from arrayq.llm.shared import arrow_map
 from arrayq.llm.spans import Texts, slices
 
 BUCKETS = 1 << 20
@@ -191,7 +192,7 @@ def predict(docs: DataFrame, model: Model | None) -> DataFrame:
                 made = [pa.array(score), pa.array((score >= PREDICT_AT).astype(np.int32)), pa.array(count), pa.array(place[:, 0]), pa.array(place[:, 1]), pa.array(worst)]
                 yield pa.RecordBatch.from_arrays([own.column(0), own.column(2), *made], names)
 
-    return narrow.mapInArrow(run, f"doc_id {kind}, held_out boolean, score double, predicted int, n_offending long, worst_start long, worst_end long, worst_score double")
+    return arrow_map(narrow, run, f"doc_id {kind}, held_out boolean, score double, predicted int, n_offending long, worst_start long, worst_end long, worst_score double")
 
 
 def locate(model: Model, text: str, at: float = SENTENCE_AT) -> list[tuple[int, int, float]]:

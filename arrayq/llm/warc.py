@@ -33,7 +33,7 @@ import pyarrow.fs as pafs
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from arrayq.llm.shared import materialise, new_path
+from arrayq.llm.shared import arrow_map, materialise, new_path
 
 MIN_REVISIT_BYTES = 1000
 MAX_GAP = 64 << 10
@@ -167,7 +167,7 @@ def write_warc(rows: DataFrame, path: str | None = None, min_bytes: int = MIN_RE
             kinds = (pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string())
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, kinds, strict=True)], ["record_id", "file", "offset", "length", "url", "digest"])
 
-    made = joined.select("id", "url", "payload", "digest", "refers_to").mapInArrow(run, INDEX_SCHEMA)
+    made = arrow_map(joined.select("id", "url", "payload", "digest", "refers_to"), run, INDEX_SCHEMA)
     return materialise(made, "warc-index")
 
 
@@ -224,7 +224,7 @@ def read_warc(index: DataFrame, payloads: bool = True) -> DataFrame:
         if handle is not None:
             handle.close()
 
-    return dealt.mapInArrow(run, RECORD_SCHEMA)
+    return arrow_map(dealt, run, RECORD_SCHEMA)
 
 
 def archive_and_read(pages: DataFrame) -> DataFrame:
