@@ -24,8 +24,9 @@ difference.  Regions with many left members take further pivots first.  Every
 pair that passes is checked on the full sets, so the result is exact.
 
 The list of shingles that go last (more than ``HOT`` documents, or one in
-``HOT_SHARE`` of all replicas) has at most ``HOT_SHARE`` entries, and the table
-of word frequencies ``1 << LEVEL_BITS`` bytes, whatever the corpus.
+``HOT_SHARE`` of all replicas) has at most ``HOT_SHARE`` entries, the table of
+word frequencies ``1 << LEVEL_BITS`` bytes and the list of frequent shingles
+``FREQUENT`` entries, whatever the corpus.
 
 Defined results: null and empty texts have no shingles and link with nothing;
 with fewer words than a shingle has, the whole sequence is one; repeated rows
@@ -37,6 +38,7 @@ id stay.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
@@ -66,8 +68,12 @@ BROADCAST_IDS = 2_000_000
 _KEY = ["n", "s1", "s2"]
 _SIG = "n int, s1 long, s2 long, prefix array<long>, classes binary, hot boolean"
 LEVEL_BITS = 20
-#: Words that a task sees less often stay at level 0.
+SHINGLE_BITS = 24
+#: Words and shingles that a task sees less often stay at level 0.
 MIN_SEEN = 8
+#: Places in the order from here on are those of frequent shingles, of which so many are told apart.
+LATE = 200
+FREQUENT = 500_000
 
 
 def prefix_size(n: np.ndarray, percent: int) -> np.ndarray:
@@ -75,41 +81,69 @@ def prefix_size(n: np.ndarray, percent: int) -> np.ndarray:
     return np.where(n > 0, n + (-n * percent) // 100 + 1, 0)
 
 
-def _levels(docs: DataFrame) -> np.ndarray:
-    """For each hash bucket of words how often they stand in all texts, as a power of two.
+@dataclass
+class Frequencies:
+    """How often words (by hash bucket) and frequent shingles (sparse) stand in all texts, as powers of two."""
 
-    Every task counts its words in a table of fixed size and sends the buckets
-    that it saw more than a few times.
+    words: np.ndarray
+    buckets: np.ndarray
+    levels: np.ndarray
+
+    def table(self) -> np.ndarray:
+        """The shingles' levels by bucket."""
+        out = np.zeros(1 << SHINGLE_BITS, np.uint8)
+        out[self.buckets] = self.levels
+        return out
+
+
+def _frequencies(docs: DataFrame, words: int) -> Frequencies:
+    """Counts over all texts.
+
+    Every task counts in tables of fixed size and sends the buckets that it saw
+    more than a few times, so what stands in a fixed share of all documents is
+    found however many tasks there are.
     """
     narrow = docs.select(F.col("text").cast("string").alias("text"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        seen = np.zeros(1 << LEVEL_BITS, np.int64)
+        seen, runs = np.zeros(1 << LEVEL_BITS, np.int64), np.zeros(1 << SHINGLE_BITS, np.uint32)
         for batch in batches:
             for part in slices(batch.column(0)):
                 low = part.lowered()
                 starts, ends, _ = low.words()
-                seen += np.bincount((low.hashes(starts, ends) >> np.uint64(64 - LEVEL_BITS)).astype(np.int64), minlength=len(seen))
-        often = np.flatnonzero(seen >= MIN_SEEN)
-        yield pa.RecordBatch.from_arrays([pa.array(often), pa.array(seen[often])], ["bucket", "seen"])
-
-    counts = arrow_map(narrow, run, "bucket long, seen long").groupBy("bucket").agg(F.sum("seen").alias("seen"))
+                hashes = low.hashes(starts, ends)
+                seen += np.bincount((hashes >> np.uint64(64 - LEVEL_BITS)).astype(np.int64), minlength=len(seen))
+                np.add.at(runs, (windows(hashes, words) >> np.uint64(64 - SHINGLE_BITS)).astype(np.int64), np.uint32(1))
+        for whole, table in ((False, seen), (True, runs)):
+            often = np.flatnonzero(table >= MIN_SEEN)
+            yield pa.RecordBatch.from_arrays([pa.array(np.full(len(often), whole)), pa.array(often), pa.array(table[often].astype(np.int64))], ["whole", "bucket", "seen"])
+
+    counts = arrow_map(narrow, run, "whole boolean, bucket long, seen long").groupBy("whole", "bucket").agg(F.sum("seen").alias("seen"))
+    found = counts.select("whole", "bucket", F.floor(F.log2("seen")).cast("int").alias("level"), "seen")
     out = np.zeros(1 << LEVEL_BITS, np.uint8)
-    for bucket, level in counts.select("bucket", F.floor(F.log2("seen")).cast("int")).collect():
-        out[bucket] = min(level, 250 // WORDS_MOST)
-    return out
+    own = found.where(~F.col("whole")).select("bucket", "level").toPandas()  # a row for each bucket at most
+    out[own["bucket"].to_numpy()] = np.minimum(own["level"].to_numpy(), LATE // WORDS_MOST)
+    most = found.where("whole").orderBy(F.desc("seen"), "bucket").limit(FREQUENT).select("bucket", "level").toPandas()
+    return Frequencies(out, most["bucket"].to_numpy(np.int64), np.minimum(most["level"].to_numpy(np.int64), 255 - LATE).astype(np.uint8))
 
 
-def _own(part: Texts, words: int, levels: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """The texts' distinct shingles in the common order, and their bounds.  A shingle is its words' level, then 56 bits of hash."""
+def _own(part: Texts, words: int, known: Frequencies, frequent: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The texts' distinct shingles in the common order, and their bounds.
+
+    A shingle is a byte for its place in the order, the sum of its words' levels
+    or, where it is frequent itself, a number beyond all such sums; then 56 bits
+    of hash.
+    """
     low = part.lowered()
     starts, ends, at = low.words()
     hashes = low.hashes(starts, ends)
-    level = levels[(hashes >> np.uint64(64 - LEVEL_BITS)).astype(np.int64)].astype(np.uint64)
+    level = known.words[(hashes >> np.uint64(64 - LEVEL_BITS)).astype(np.int64)].astype(np.uint64)
     sums = np.concatenate((np.zeros(1, np.uint64), np.cumsum(level, dtype=np.uint64)))
     low56, top = np.uint64((1 << 56) - 1), np.uint64(56)
     rolled = windows(hashes, words)
-    keys = (rolled & low56) | ((sums[words:] - sums[:-words])[: len(rolled)] << top)
+    late = frequent[(rolled >> np.uint64(64 - SHINGLE_BITS)).astype(np.int64)].astype(np.uint64)
+    order = np.where(late > 0, late + np.uint64(LATE), (sums[words:] - sums[:-words])[: len(rolled)])
+    keys = (rolled & low56) | (order << top)
     out = []
     for i in range(len(at) - 1):
         a, b = int(at[i]), int(at[i + 1])
@@ -132,10 +166,10 @@ def _set_hashes(total: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.n
     return out[0], out[1]
 
 
-def _signatures(column: pa.Array, words: int, percent: int, levels: np.ndarray, hot: np.ndarray) -> Iterator[tuple[int, list[pa.Array]]]:
+def _signatures(column: pa.Array, words: int, percent: int, known: Frequencies, frequent: np.ndarray, hot: np.ndarray) -> Iterator[tuple[int, list[pa.Array]]]:
     """For runs of texts: set size, 128-bit set hash, replicated shingles, counts by class, whether a hot shingle counts."""
     for part in slices(column):
-        total, bounds = _own(part, words, levels)
+        total, bounds = _own(part, words, known, frequent)
         n = np.diff(bounds)
         s1, s2 = _set_hashes(total, bounds)
         size = prefix_size(n, percent)
@@ -168,21 +202,22 @@ def _signatures(column: pa.Array, words: int, percent: int, levels: np.ndarray,
         ]
 
 
-def _signed(docs: DataFrame, words: int, percent: int, levels: np.ndarray, hot: np.ndarray) -> DataFrame:
+def _signed(docs: DataFrame, words: int, percent: int, known: Frequencies, hot: np.ndarray) -> DataFrame:
     """Signatures of all documents; with a hot list, of those only whose replicas it changes."""
     narrow = docs.select("doc_id", F.col("text").cast("string").alias("text"))
     names = ["doc_id", *(x.split()[0] for x in _SIG.split(", "))]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        frequent = known.table()
         for batch in batches:
-            for first, made in _signatures(batch.column(1), words, percent, levels, hot):
+            for first, made in _signatures(batch.column(1), words, percent, known, frequent, hot):
                 out = pa.RecordBatch.from_arrays([batch.column(0).slice(first, len(made[0])), *made], names)
                 yield out.filter(made[-1]) if len(hot) else out
 
     return arrow_map(narrow, run, f"doc_id {narrow.schema['doc_id'].dataType.simpleString()}, {_SIG}")
 
 
-def _sets(docs: DataFrame, wanted: DataFrame, words: int, levels: np.ndarray) -> DataFrame:
+def _sets(docs: DataFrame, wanted: DataFrame, words: int, known: Frequencies) -> DataFrame:
     """(node, shingles) of the wanted nodes (node, doc_id, n, s1, s2), from the texts of their first rows."""
     few = wanted.count() <= BROADCAST_IDS
     ids = wanted.select(F.col("doc_id").alias("_wanted")).distinct()
@@ -190,9 +225,10 @@ def _sets(docs: DataFrame, wanted: DataFrame, words: int, levels: np.ndarray) ->
     narrow = narrow.join(F.broadcast(ids) if few else ids, narrow["doc_id"].eqNullSafe(ids["_wanted"]), "left_semi")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        frequent = known.table()
         for batch in batches:
             for part in slices(batch.column(0)):
-                total, bounds = _own(part, words, levels)
+                total, bounds = _own(part, words, known, frequent)
                 s1, s2 = _set_hashes(total, bounds)
                 yield pa.RecordBatch.from_arrays([pa.array(np.diff(bounds).astype(np.int32)), pa.array(s1.view(np.int64)), pa.array(s2.view(np.int64)), pa.ListArray.from_arrays(pa.array(bounds, pa.int32()), pa.array(total.view(np.int64)))], [*_KEY, "shingles"])
 
@@ -217,8 +253,8 @@ class _Join:
         self.docs, self.words, self.percent = docs, words, percent
         if not 1 <= words <= WORDS_MOST:
             raise ValueError(f"shingles have 1 to {WORDS_MOST} words")
-        self.levels = _levels(docs)
-        signed = _signed(docs, words, percent, self.levels, np.zeros(0, np.uint64)).withColumn("row", F.monotonically_increasing_id())
+        self.known = _frequencies(docs, words)
+        signed = _signed(docs, words, percent, self.known, np.zeros(0, np.uint64)).withColumn("row", F.monotonically_increasing_id())
         self.rows = materialise(signed, "jaccard-rows")
         full = self.rows.where("n > 0")
         self.groups = materialise(full.groupBy(*_KEY).agg(F.min("row").alias("node")), "jaccard-groups")
@@ -229,7 +265,7 @@ class _Join:
         hot = [r.token for r in replicas.groupBy("token").agg(F.count(F.lit(1)).alias("c")).where(F.col("c") > max(HOT, total // HOT_SHARE)).select("token").collect()]
         if hot:  # at most HOT_SHARE of them
             order = np.sort(np.array(hot, np.int64).view(np.uint64))
-            anew = _signed(docs, words, percent, self.levels, order).select(*_KEY, F.col("prefix").alias("_anew")).dropDuplicates(_KEY)
+            anew = _signed(docs, words, percent, self.known, order).select(*_KEY, F.col("prefix").alias("_anew")).dropDuplicates(_KEY)
             first, nodes = nodes, materialise(nodes.join(anew, _KEY, "left").withColumn("prefix", F.coalesce("_anew", "prefix")).drop("_anew"), "jaccard-nodes")
             discard(first)
         self.nodes = nodes
@@ -257,7 +293,7 @@ class _Join:
         likely = materialise(arrow_map(both.select("a", "b", "n1", "n2", "c1", "c2"), run, "a long, b long, n1 int, n2 int"), "jaccard-likely")
         ends = likely.select(F.col("a").alias("node")).unionByName(likely.select(F.col("b").alias("node"))).distinct()
         wanted = materialise(self.nodes.join(ends, "node").select("node", "doc_id", *_KEY), "jaccard-wanted")
-        sets = _sets(self.docs, wanted, self.words, self.levels)
+        sets = _sets(self.docs, wanted, self.words, self.known)
         with_a = likely.join(sets.select(F.col("node").alias("a"), F.col("shingles").alias("x")), "a")
         with_b = with_a.join(sets.select(F.col("node").alias("b"), F.col("shingles").alias("y")), "b")
         out = materialise(with_b.select("a", "b", "n1", "n2", F.size(F.array_intersect("x", "y")).alias("shared")), "jaccard-checked")
@@ -318,13 +354,17 @@ class _Join:
         """Pairs what lies outside its region's pivot component with all other members, checks, and closes the components."""
         distance = checked.select("a", "b", (1 - F.col("shared") / (F.col("n1") + F.col("n2") - F.col("shared"))).alias("d"))
         members = members.withColumn("_a", F.greatest("node", "pivot")).withColumn("_b", F.least("node", "pivot")).join(distance.select(F.col("a").alias("_a"), F.col("b").alias("_b"), "d"), ["_a", "_b"], "left").select("token", "node", "n", "at", "comp", "pivot_comp", "d")
-        members = materialise(members, "jaccard-members")
+        # what stands before the region's shingle: two documents pair in the region of the first shingle they share
+        alone = F.count(F.lit(1)).alias("c")
+        paired = members.groupBy("token").agg(alone).where("c > 1").select("token")
+        members = members.join(paired, "token").join(self.nodes.select("node", "prefix"), "node")
+        members = materialise(members.withColumn("before", F.slice("prefix", F.lit(1), F.col("at"))).drop("prefix"), "jaccard-members")
         x, y = members.where(F.col("comp") != F.col("pivot_comp")).alias("x"), members.alias("y")
         r = 1 - self.percent / 100 + 1e-9
         window = F.coalesce(F.abs(F.col("x.d") - F.col("y.d")) <= r, F.lit(True))
         outside = F.col("y.comp") != F.col("y.pivot_comp")
         once = ~outside | (F.col("x.node") < F.col("y.node"))
-        pairs = x.join(y, (F.col("x.token") == F.col("y.token")) & (F.col("x.comp") != F.col("y.comp")) & once & self._near(F.col("x.n"), F.col("x.at"), F.col("y.n"), F.col("y.at")) & window)
+        pairs = x.join(y, (F.col("x.token") == F.col("y.token")) & (F.col("x.comp") != F.col("y.comp")) & once & self._near(F.col("x.n"), F.col("x.at"), F.col("y.n"), F.col("y.at")) & window & ~F.arrays_overlap("x.before", "y.before"))
         pairs = pairs.select(F.greatest("x.node", "y.node").alias("a"), F.least("x.node", "y.node").alias("b")).distinct()
         pairs = pairs.join(checked.select("a", "b"), ["a", "b"], "left_anti")
         found = self.check(pairs)

@@ -38,8 +38,8 @@ from arrayq.llm.shared import arrow_map, materialise
 CAPACITY = 4096
 END_ID = 1
 SALTS = 1024
-#: Distinct words whose ids a worker remembers.
-CACHE_WORDS = 800_000
+#: Distinct words in each of the two generations of a worker's cache.
+CACHE_WORDS = 150_000
 _BATCH_BYTES = 4 << 20
 
 
@@ -65,8 +65,8 @@ class WordEncoder:
         self.tokenizer, self.most = Tokenizer.from_file(path), most
         self.bar, *more = self.tokenizer.encode("|", add_special_tokens=False).ids
         assert not more, "the bar must be one token"
-        self.cache: dict[bytes, bytes] = {}
-        self.cache |= {w: self._alone(w) for w in (b".", b",")}
+        self.stops = {w: self._alone(w) for w in (b".", b",")}
+        self.cache, self.older = dict(self.stops), {}
 
     def _alone(self, word: bytes) -> bytes:
         return np.array(self.tokenizer.encode(word.decode(), add_special_tokens=False).ids, "<u4").tobytes()
@@ -76,7 +76,8 @@ class WordEncoder:
         plain = [w for w in words if b"|" not in w]
         for i in range(0, len(plain), 5000):
             some = plain[i : i + 5000]
-            ids = np.array(self.tokenizer.encode(b" | ".join([*some, b""]).decode(), add_special_tokens=False).ids, "<u4")
+            line = b" | ".join([*some, b""]).decode()
+            ids = np.array(self.tokenizer.encode_batch_fast([line], add_special_tokens=False)[0].ids, "<u4")
             ends = np.flatnonzero(ids == self.bar)
             assert len(ends) == len(some)
             flat, at = ids.tobytes(), 0
@@ -85,15 +86,22 @@ class WordEncoder:
                 at = end + 4
         self.cache |= {w: self._alone(w) for w in words if b"|" in w}
 
+    def _known(self, words: set[bytes]) -> set[bytes]:
+        """Words that neither generation has; those of the older one move to the newer."""
+        missing = words - self.cache.keys()
+        again = missing & self.older.keys()
+        self.cache |= {w: self.older[w] for w in again}
+        return missing - again
+
     def encode(self, texts: list[str]) -> list[bytes]:
         # bytes.lower() folds A-Z only and bytes.split() cuts at exactly the six ASCII spaces
         split = [t.encode().lower().split() for t in texts]
         if len(self.cache) > self.most:
-            self.cache = {w: self.cache[w] for w in (b".", b",")}
-        cache = self.cache
-        unknown = set().union(*split) - cache.keys()
+            self.cache, self.older = dict(self.stops), self.cache
+        unknown = self._known(set().union(*split))
         stopped = [w for w in unknown if w[-1] in b".," and w[-2:-1].isalnum()]
-        self._learn(list((unknown - set(stopped)) | ({w[:-1] for w in stopped} - cache.keys())))
+        self._learn(list(self._known(unknown.difference(stopped) | {w[:-1] for w in stopped})))
+        cache = self.cache
         cache |= {w: cache[w[:-1]] + cache[w[-1:]] for w in stopped}
         return [b"".join(map(cache.__getitem__, words)) for words in split]
 

@@ -38,7 +38,7 @@ from pyspark.sql import functions as F
 from arrayq.llm.shared import arrow_map
 
 SPACE = "▁"
-CACHE_UNITS = 600_000
+CACHE_UNITS = 200_000
 #: Characters of new units that are indexed together.
 INDEX_CHARS = 1 << 20
 _RUN_BYTES = 2 << 20
@@ -89,6 +89,7 @@ class Codec:
         self.piece_masks = self._packed((used * np.uint16(0xFFFF)).astype(np.uint16).reshape(len(names), self.n_keys, _PER_KEY))
         self.stands: dict[int, bool] = {}
         self.cache: dict[str, bytes] = {}
+        self.older: dict[str, bytes] = {}
 
     @staticmethod
     def _packed(codes: np.ndarray) -> np.ndarray:
@@ -221,10 +222,13 @@ class Codec:
         """The ids of each text as little-endian 32-bit integers."""
         split = [_UNIT.findall((SPACE + t).replace(" ", SPACE)) if t else [] for t in texts]
         if len(self.cache) > self.most:
-            self.cache = {}
-        if len(self.stands) > self.most:
+            self.cache, self.older = {}, self.cache
+        if len(self.stands) > 2 * self.most:
             self.stands = {}
         unknown = set().union(*split) - self.cache.keys()
+        again = unknown & self.older.keys()
+        self.cache |= {u: self.older[u] for u in again}
+        unknown -= again
         self._learn(sorted(unknown))
         get = self.cache.__getitem__
         return [b"".join(map(get, units)) for units in split]

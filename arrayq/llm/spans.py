@@ -24,7 +24,7 @@ _BYTE_CODES = np.random.Generator(np.random.PCG64(20240229)).integers(1, 1 << 63
 _powers = {"up": np.ones(1, np.uint64), "down": np.ones(1, np.uint64)}
 
 #: Bytes of text that are hashed together; longer single texts go alone.
-SLICE_BYTES = 1 << 20
+SLICE_BYTES = 1 << 19
 
 
 def mix(x: np.ndarray) -> np.ndarray:
