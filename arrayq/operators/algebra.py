@@ -126,6 +126,7 @@ def overridden(a: Tensor, b: Tensor) -> Tensor:
     """The cells of ``a`` with those of ``b`` in their place; cells only ``b`` has are added."""
     names = a.indices
     fresh = b.values().select(*names, F.col(VALUE).alias("_b"), F.lit(True).alias("_new"))
-    joined = a.values().withColumnRenamed(VALUE, "_a").join(fresh, names, "full")
+    # a dense tensor has all cells already
+    joined = a.values().withColumnRenamed(VALUE, "_a").join(fresh, names, "left" if a.is_dense else "full")
     made = F.when(F.col("_new"), F.col("_b")).otherwise(F.col("_a"))
     return Tensor(joined.select(*names, made.alias(VALUE)), a.dims, a.n_dense, wider(a.kind, b.kind)).stored(a.n_dense)

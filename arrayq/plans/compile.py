@@ -38,6 +38,9 @@ class Scope:
     tensors: list[tuple[Tensor, list[str], str]] = field(default_factory=list)
     #: Extents of index columns.
     dims: dict[str, int] = field(default_factory=dict)
+    #: Whether there is a row for every combination of the index columns in ``dims`` (those in ``same`` follow others).
+    complete: bool = False
+    same: dict[str, str] = field(default_factory=dict)
     #: Columns that stand for whole syntax nodes: reductions and nested comprehensions.
     made: dict[A.Node, Any] = field(default_factory=dict)
 
@@ -77,7 +80,7 @@ class Compiler:
         self.nested(head, scope)
         value = self.row(head, scope)
         df = scope.df if scope.df is not None else self.unit()
-        return Relation(df, value, scope.unique, scope.dims)
+        return Relation(df, value, scope.unique, scope.dims, scope.complete and scope.df is not None, scope.same)
 
     def unit(self) -> DataFrame:
         return self.spark.range(1).select(F.lit(0).alias(self.fresh("unit")))
@@ -137,8 +140,7 @@ class Compiler:
             low, high, step = (self.program.value(x) for x in (r.low, r.high, r.step))
             stop = high + 1 if step > 0 else high - 1
             df = self.spark.range(low, stop, step).select(F.col("id").cast("int").alias(name))
-            self._joined(q.pattern, df, Val(F.col(name), "int"), scope, rest, frozenset([name]))
-            scope.dims[name] = high + 1
+            self._joined(q.pattern, df, Val(F.col(name), "int"), scope, rest, frozenset([name]), {name: high + 1}, low == 0 and step == 1)
             return
         bounds = [column_of(self.row(x, scope)).col.cast("int") for x in (r.low, r.high, r.step)]
         low, high, step = bounds
@@ -147,6 +149,7 @@ class Compiler:
         scope.df = (scope.df if scope.df is not None else self.unit()).withColumn(name, F.explode(values))
         if scope.unique is not None:
             scope.unique |= {name}
+        scope.complete = False
         self.bind(q.pattern, Val(F.col(name), "int"), scope)
 
     def _explode(self, q: A.Generator, value: Any, scope: Scope) -> None:
@@ -171,7 +174,7 @@ class Compiler:
                 made = from_column(F.col(name), kind.elementType)
         else:
             raise CompileError(f"a generator ranges over collections, not {val.kind}")
-        scope.unique = None
+        scope.unique, scope.complete = None, False
         self.bind(q.pattern, made, scope)
 
     def _source(self, q: A.Generator, source: Any, scope: Scope, rest: list[A.Node]) -> None:
@@ -198,7 +201,6 @@ class Compiler:
     def _tensor(self, q: A.Generator, t: Tensor, scope: Scope, rest: list[A.Node]) -> None:
         names = [self.fresh("i") for _ in t.indices]
         own = self.fresh("v")
-        bound: Scope = Scope(env=dict(scope.env))
         index = [Val(F.col(n), "int") for n in names]
         value = tuple_of([index[0] if t.rank == 1 else tuple_of(index), unpacked(Val(F.col(own), t.kind))])
         # two generators over one tensor with equal indices are one: its index is a key
@@ -209,10 +211,8 @@ class Compiler:
                     self.bind(q.pattern, tuple_of([same[0] if t.rank == 1 else tuple_of(same), unpacked(Val(F.col(other_value), t.kind))]), scope)
                     return
         cells = (t.full() if q.full else t.values()).select(*[F.col(a).alias(b) for a, b in zip([*t.indices, VALUE], [*names, own], strict=True)])
-        self._joined(q.pattern, cells, value, scope, rest, frozenset(names))
+        self._joined(q.pattern, cells, value, scope, rest, frozenset(names), dict(zip(names, t.dims, strict=True)), q.full or t.is_dense)
         scope.tensors.append((t, names, own))
-        scope.dims |= dict(zip(names, t.dims, strict=True))
-        del bound
 
     def _same_index(self, pattern: A.Node, value: Row, names: list[str], columns: list[str], scope: Scope, rest: list[A.Node]) -> bool:
         trial = Scope()
@@ -236,12 +236,16 @@ class Compiler:
             rest.remove(q)
         return True
 
-    def _joined(self, pattern: A.Node, df: DataFrame, value: Any, scope: Scope, rest: list[A.Node], unique: frozenset[str] | None) -> None:
+    def _joined(self, pattern: A.Node, df: DataFrame, value: Any, scope: Scope, rest: list[A.Node], unique: frozenset[str] | None, dims: dict[str, int] | None = None, complete: bool = False) -> None:
         """Joins a new source; takes the predicates out of ``rest`` that link it to what is bound."""
+        dims = dims or {}
         if scope.df is None:
-            scope.df, scope.unique = df, unique
+            scope.df, scope.unique, scope.complete = df, unique, complete
+            scope.dims |= dims
             self.bind(pattern, value, scope)
             return
+        columns = {str(F.col(c)): c for c in [*scope.dims, *dims]}
+        same: dict[str, str] = {}
         new = Scope(df=df)
         shadowed = set(A.bound_names(pattern))
         self.bind(pattern, value, new)
@@ -259,6 +263,7 @@ class Compiler:
                 continue
             both = Scope(df=None, env=scope.env | new.env, made=scope.made)
             conditions.append(column_of(self.row(q.cond, both)).col)
+            complete = complete and self._follows(q.cond, both, columns, scope.dims, dims, same)
             rest.remove(q)
         if conditions:
             condition = conditions[0]
@@ -268,8 +273,26 @@ class Compiler:
         else:
             scope.df = scope.df.crossJoin(new.df)
         scope.unique = scope.unique | unique if scope.unique is not None and unique is not None else None
+        scope.complete = scope.complete and complete
+        scope.dims |= dims
+        scope.same |= same
         scope.env |= new.env
 
+    @staticmethod
+    def _follows(cond: A.Node, both: Scope, columns: dict[str, str], old: dict[str, int], new: dict[str, int], same: dict[str, str]) -> bool:
+        """Whether an equality only makes a new index follow an old one of the same extent."""
+        if not (isinstance(cond, A.Binary) and cond.op == "==" and isinstance(cond.left, A.Var) and isinstance(cond.right, A.Var)):
+            return False
+        ends = [both.env.get(x.name) for x in (cond.left, cond.right)]
+        if not all(isinstance(e, Val) and str(e.col) in columns for e in ends):
+            return False
+        a, b = (columns[str(e.col)] for e in ends)
+        a, b = (a, b) if a in new else (b, a)
+        if a not in new or b not in old or a in same or b in same.values() or new[a] != old[b]:
+            return False
+        same[a] = b
+        return True
+
     # --- lets, filters, patterns
     def bind(self, pattern: A.Node, value: Any, scope: Scope) -> None:
         if isinstance(pattern, A.VarPat):
@@ -294,6 +317,7 @@ class Compiler:
         if not isinstance(value, Val) or value.kind != "boolean":
             raise CompileError("a predicate is a boolean")
         scope.df = (scope.df if scope.df is not None else self.unit()).where(value.col)
+        scope.complete = False
 
     # --- group-by
     def group(self, q: A.GroupBy, scope: Scope, rest: list[A.Node], head: A.Node) -> None:
@@ -328,7 +352,9 @@ class Compiler:
         else:
             df = scope.df.select(*keys).distinct()
         dims = {n: scope.dims[plain[str(v.col)]] for n, v in leaves if str(v.col) in plain and plain[str(v.col)] in scope.dims}
-        scope.df, scope.unique, scope.dims, scope.tensors = df, frozenset(n for n, _ in leaves), dims, []
+        # groups by index columns of a full index space are a full index space
+        scope.complete = scope.complete and len(dims) == len(leaves) and len({scope.same.get(c, c) for c in covered}) == len(leaves)
+        scope.df, scope.unique, scope.dims, scope.tensors, scope.same = df, frozenset(n for n, _ in leaves), dims, [], {}
         scope.made |= {node: Val(F.col(alias), agg.kind) for node, (alias, agg, _) in aggregates.items()}
         scope.env = {n: v if isinstance(v, Bag) else Bag(v) for n, v in bagged.items()}
         self.bind(q.pattern, key_value, scope)
@@ -671,6 +697,13 @@ def as_tensor(r: Relation, dims: tuple[int, ...] | None, n_dense: int | None) ->
         raise CompileError(f"indices of {len(parts)} parts do not fit {len(dims)} dimensions")
     own = column_of(value.items[1])
     cells = r.df.select(*[p.col.cast("int").alias(f"i{k}") for k, p in enumerate(parts)], own.col.alias(VALUE))
+    if r.complete and (n_dense is None or n_dense == len(dims)):
+        columns = {str(F.col(c)): c for c in r.dims}
+        used = [columns.get(str(p.col)) for p in parts]
+        free = {c for c in r.dims if c not in r.same}
+        # every index of the result has its row already
+        if None not in used and len({r.same.get(c, c) for c in used}) == len(used) == len(free) and tuple(r.dims[c] for c in used) == tuple(dims):
+            return Tensor(cells, dims, len(dims), own.kind)
     return Tensor(cells, dims, 0, own.kind).stored(len(dims) if n_dense is None else n_dense, held_sparse=True)
 
 

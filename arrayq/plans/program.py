@@ -201,11 +201,12 @@ class Program:
             made = self.compiler.comprehension(A.Comprehension(A.Tuple([key, A.Reduce(one.name, A.Var(own))]), [*quals, A.Let(A.VarPat(own), value), A.GroupBy(pattern, index)]))
             cells = self._cells(made, old)
             fresh = cells.select(*old.indices, F.col(VALUE).alias("_b"))
-            joined = old.values().withColumnRenamed(VALUE, "_a").join(fresh, old.indices, "full")
+            joined = old.values().withColumnRenamed(VALUE, "_a").join(fresh, old.indices, "left" if old.is_dense else "full")
             before = F.coalesce(F.col("_a"), F.lit(zero_of(old.kind)).cast(old.kind)) if one.zero is not None else F.col("_a")
             both = one.combine(before, F.col("_b"))
             merged = F.when(F.col("_b").isNull(), F.col("_a")).when(before.isNull(), F.col("_b")).otherwise(both).cast(old.kind)
-            self.assign(name, replace(old, df=joined.select(*old.indices, merged.alias(VALUE)), n_dense=0).stored(old.n_dense, held_sparse=not old.is_dense))
+            made_df = joined.select(*old.indices, merged.alias(VALUE))
+            self.assign(name, old.with_df(made_df) if old.is_dense else replace(old, df=made_df, n_dense=0).stored(old.n_dense, held_sparse=True))
             return
         made = self.compiler.comprehension(A.Comprehension(A.Tuple([index, s.value]), quals))
         # of several values for an element the largest stays, so the result does not depend on their order

@@ -61,6 +61,8 @@ class Relation:
     value: Any
     unique: frozenset[str] | None = None
     dims: dict[str, int] = field(default_factory=dict)
+    complete: bool = False
+    same: dict[str, str] = field(default_factory=dict)
 
 
 @dataclass

@@ -43,3 +43,21 @@ def test_filters_and_columns_reach_the_scan(spark, tmp_path):
     out = q(spark, "dataset[ x | (k,x,y) <- D, k > 90 ]", D=spark.read.parquet(path))
     text = out._jdf.queryExecution().executedPlan().toString()
     assert "PushedFilters: [IsNotNull(k), GreaterThan(k,90)]" in text and "unused" not in text and "ReadSchema: struct<k:bigint,x:bigint>" in text
+
+
+def test_full_dense_results_are_not_filled_again(spark):
+    a, b = tensor(spark, np.arange(6.0).reshape(2, 3)), tensor(spark, np.ones((2, 3)))
+    one = q(spark, "[ ((j,i), x*2) | ((i,j),x) <- A ]", A=a)
+    assert plan(one).count("Join") == plan(a).count("Join") and np.array_equal(array(one), np.arange(6.0).reshape(2, 3).T * 2)
+    two = q(spark, "[ ((i,j), x+y) | ((i,j),x) <- A, ((k,l),y) <- B, k == i, l == j ]", A=a, B=b)
+    assert plan(two).count("Join") == plan(a).count("Join") + plan(b).count("Join") + 1
+    rows = q(spark, "[ (i, +/x) | ((i,j),x) <- A, group by i ]", A=a)
+    assert plan(rows).count("Join") == plan(a).count("Join") and array(rows).tolist() == [3, 12]
+    # a filter leaves gaps, which are filled
+    some = q(spark, "[ ((i,j), x) | ((i,j),x) <- A, x > 2.0 ]", A=a)
+    assert plan(some).count("Join") > plan(a).count("Join") and array(some).tolist() == [[0, 0, 0], [3, 4, 5]]
+    # so do indices that follow each other within one tensor
+    diagonal = q(spark, "tensor(2,3)[ ((i,j), x) | ((i,j),x) <- A, i == j ]", A=a)
+    assert array(diagonal).tolist() == [[0, 0, 0], [0, 4, 0]]
+    square = q(spark, "tensor(3,3)[ ((i,i), x) | (i,x) <- V ]", V=tensor(spark, np.ones(3)))
+    assert array(square).tolist() == np.eye(3).tolist()
