@@ -25,21 +25,22 @@ import zlib
 from collections.abc import Iterator
 from functools import lru_cache
 from heapq import heappop, heappush
+from itertools import pairwise
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from arrayq.llm.shared import arrow_map, materialise
+from arrayq.llm.spans import slices
 
 CAPACITY = 4096
 END_ID = 1
 SALTS = 1024
 #: Distinct words in each of the two generations of a worker's cache.
-CACHE_WORDS = 150_000
+CACHE_WORDS = 200_000
 _BATCH_BYTES = 4 << 20
 
 
@@ -74,8 +75,8 @@ class WordEncoder:
     def _learn(self, words: list[bytes]) -> None:
         """Puts the ids of ``words`` into the cache; words without a bar go through the tokenizer in one line, bars between."""
         plain = [w for w in words if b"|" not in w]
-        for i in range(0, len(plain), 5000):
-            some = plain[i : i + 5000]
+        for i in range(0, len(plain), 1000):
+            some = plain[i : i + 1000]
             line = b" | ".join([*some, b""]).decode()
             ids = np.array(self.tokenizer.encode_batch_fast([line], add_special_tokens=False)[0].ids, "<u4")
             ends = np.flatnonzero(ids == self.bar)
@@ -93,9 +94,10 @@ class WordEncoder:
         self.cache |= {w: self.older[w] for w in again}
         return missing - again
 
-    def encode(self, texts: list[str]) -> list[bytes]:
+    def encode(self, texts: list[bytes]) -> list[bytes]:
+        """The ids of each text (UTF-8)."""
         # bytes.lower() folds A-Z only and bytes.split() cuts at exactly the six ASCII spaces
-        split = [t.encode().lower().split() for t in texts]
+        split = [t.lower().split() for t in texts]
         if len(self.cache) > self.most:
             self.cache, self.older = dict(self.stops), self.cache
         unknown = self._known(set().union(*split))
@@ -111,16 +113,6 @@ def _encoder(path: str, most: int) -> WordEncoder:
     return WordEncoder(path, most)
 
 
-def _text_runs(texts: pa.Array) -> Iterator[tuple[int, list[str]]]:
-    """The texts (null: empty) in runs of a few MB."""
-    sizes = np.cumsum(pc.fill_null(pc.binary_length(texts), 0).to_numpy(zero_copy_only=False))
-    i = 0
-    while i < len(texts):
-        j = max(i + 1, int(np.searchsorted(sizes, (sizes[i - 1] if i else 0) + _BATCH_BYTES, "right")))
-        yield i, [t or "" for t in texts.slice(i, j - i).to_pylist()]
-        i = j
-
-
 def pieces(docs: DataFrame, path: str | None = None, capacity: int = CAPACITY, end_id: int = END_ID) -> DataFrame:
     """A row for each piece: doc_id, piece, start, length, ids_crc32."""
     path = path or tokenizer_path()
@@ -131,9 +123,9 @@ def pieces(docs: DataFrame, path: str | None = None, capacity: int = CAPACITY, e
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = _encoder(path, CACHE_WORDS)
         for batch in batches:
-            for first, texts in _text_runs(batch.column(1)):
+            for part in slices(batch.column(1), _BATCH_BYTES):
                 rows: list[tuple] = []
-                for i, ids in enumerate(encoder.encode(texts), first):
+                for i, ids in enumerate(encoder.encode([part.data[a:b].tobytes() for a, b in pairwise(part.at.tolist())]), part.first):
                     ids += end
                     rows += [(i, k, at // 4, min(capacity, (len(ids) - at) // 4), zlib.crc32(ids[at : at + 4 * capacity])) for k, at in enumerate(range(0, len(ids), 4 * capacity))]
                 at, *rest = zip(*rows, strict=True)
