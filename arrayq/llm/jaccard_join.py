@@ -65,6 +65,8 @@ REGION = 1024
 PAIRS_PER_MEMBER = 1
 #: Ids that may be broadcast (16 MB).
 BROADCAST_IDS = 2_000_000
+#: Regions that may be broadcast (16 MB).
+BROADCAST_REGIONS = 1_000_000
 _KEY = ["n", "s1", "s2"]
 _SIG = "n int, s1 long, s2 long, prefix array<long>, classes binary, hot boolean"
 LEVEL_BITS = 20
@@ -255,11 +257,13 @@ class _Join:
             raise ValueError(f"shingles have 1 to {WORDS_MOST} words")
         self.known = _frequencies(docs, words)
         signed = _signed(docs, words, percent, self.known, np.zeros(0, np.uint64)).withColumn("row", F.monotonically_increasing_id())
-        self.rows = materialise(signed, "jaccard-rows")
-        full = self.rows.where("n > 0")
+        wide = materialise(signed, "jaccard-rows")
+        self.rows = materialise(wide.select("row", "doc_id", *_KEY), "jaccard-rows")
+        full = wide.where("n > 0")
         self.groups = materialise(full.groupBy(*_KEY).agg(F.min("row").alias("node")), "jaccard-groups")
         heads = self.groups.select(F.col("node").alias("row"))
         nodes = materialise(full.join(heads, "row").select(F.col("row").alias("node"), "doc_id", *_KEY, "prefix", "classes"), "jaccard-nodes")
+        discard(wide)
         replicas = nodes.select(F.explode("prefix").alias("token"))
         total = nodes.agg(F.coalesce(F.sum(F.size("prefix")), F.lit(0))).first()[0]
         hot = [r.token for r in replicas.groupBy("token").agg(F.count(F.lit(1)).alias("c")).where(F.col("c") > max(HOT, total // HOT_SHARE)).select("token").collect()]
@@ -315,13 +319,18 @@ class _Join:
         """(node, comp) of all nodes in a component of more than one node."""
         replicas = self.nodes.select(F.posexplode("prefix").alias("at", "token"), "node", "n")
         sizes = materialise(replicas.groupBy("token").agg(F.count(F.lit(1)).alias("c")).where("c > 1"), "jaccard-regions")
-        members = materialise(replicas.join(sizes, "token"), "jaccard-members")
+        # most replicas are alone in their region; where the list of regions is short they go without being shuffled
+        few = sizes.count() <= BROADCAST_REGIONS
+        alike = materialise(replicas.join(F.broadcast(sizes) if few else sizes, "token"), "jaccard-members")
         # the more others a document meets in its regions, the fewer shingles of its own it has
-        central = members.groupBy("node").agg(F.sum("c").alias("meets"))
-        members = materialise(members.join(central, "node"), "jaccard-members")
+        central = alike.groupBy("node").agg(F.sum("c").alias("meets"))
+        weighed = materialise(alike.join(central, "node"), "jaccard-members")
+        discard(sizes, alike)
         best = F.max(F.struct("meets", "node", "n", "at")).alias("p")
-        heads = materialise(members.groupBy("token").agg(best).select("token", F.col("p.node").alias("pivot"), F.col("p.n").alias("pivot_n"), F.col("p.at").alias("pivot_at")), "jaccard-pivots")
-        members = materialise(members.join(heads, "token"), "jaccard-members")
+        heads = materialise(weighed.groupBy("token").agg(best).select("token", F.col("p.node").alias("pivot"), F.col("p.n").alias("pivot_n"), F.col("p.at").alias("pivot_at")), "jaccard-pivots")
+        members = materialise(weighed.join(heads, "token"), "jaccard-members")
+        discard(weighed, heads)
+        held = [members]
         total = members.count()
         checked, comps = None, None
         for step in range(1 + PIVOT_ROUNDS):
@@ -336,8 +345,11 @@ class _Join:
             pivots = comps.select(F.col("node").alias("pivot"), F.col("comp").alias("pivot_comp"))
             members = members.drop("pivot_comp").join(pivots, "pivot", "left").withColumn("pivot_comp", F.coalesce("pivot_comp", "pivot"))
             members = materialise(members, "jaccard-members")
+            discard(*held)
+            held = [members]
             left = members.where(F.col("comp") != F.col("pivot_comp"))
             open_regions = materialise(left.groupBy("token").agg(F.count(F.lit(1)).alias("left"), best), "jaccard-open")
+            held.append(open_regions)
             members = members.join(open_regions.select("token", "left", F.col("p.node").alias("_next"), F.col("p.n").alias("_next_n"), F.col("p.at").alias("_next_at")), "token")
             large = F.col("left") * F.col("c") > REGION
             # pairing compares what is left with all members; further pivots pay where that outgrows the members
@@ -348,9 +360,9 @@ class _Join:
             for own, new in (("pivot", "_next"), ("pivot_n", "_next_n"), ("pivot_at", "_next_at")):
                 members = members.withColumn(own, F.when(large, F.col(new)).otherwise(F.col(own)))
             members = members.drop("left", "_next", "_next_n", "_next_at")
-        return self._pair(members.drop("left", "_next", "_next_n", "_next_at"), checked)
+        return self._pair(members.drop("left", "_next", "_next_n", "_next_at"), checked, held)
 
-    def _pair(self, members: DataFrame, checked: DataFrame) -> DataFrame:
+    def _pair(self, members: DataFrame, checked: DataFrame, held: list[DataFrame]) -> DataFrame:
         """Pairs what lies outside its region's pivot component with all other members, checks, and closes the components."""
         distance = checked.select("a", "b", (1 - F.col("shared") / (F.col("n1") + F.col("n2") - F.col("shared"))).alias("d"))
         members = members.withColumn("_a", F.greatest("node", "pivot")).withColumn("_b", F.least("node", "pivot")).join(distance.select(F.col("a").alias("_a"), F.col("b").alias("_b"), "d"), ["_a", "_b"], "left").select("token", "node", "n", "at", "comp", "pivot_comp", "d")
@@ -359,6 +371,7 @@ class _Join:
         paired = members.groupBy("token").agg(alone).where("c > 1").select("token")
         members = members.join(paired, "token").join(self.nodes.select("node", "prefix"), "node")
         members = materialise(members.withColumn("before", F.slice("prefix", F.lit(1), F.col("at"))).drop("prefix"), "jaccard-members")
+        discard(*held)
         x, y = members.where(F.col("comp") != F.col("pivot_comp")).alias("x"), members.alias("y")
         r = 1 - self.percent / 100 + 1e-9
         window = F.coalesce(F.abs(F.col("x.d") - F.col("y.d")) <= r, F.lit(True))
