@@ -70,6 +70,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 def oracle_sql() -> dict[str, str]:
     return {
+        "op1_url_filters": url_filter.ORACLE_SQL,
         "op3_warc": warc.ORACLE_SQL,
         "op6_exact_dedup": exact_dedup.ORACLE_SQL,
         "op8_quality_rules": quality.ORACLE_SQL,
