@@ -295,6 +295,8 @@ class _Join:
                 yield batch.select([0, 1, 2, 3]).filter(pa.array(apart * (100 + percent) <= sizes * (100 - percent)))
 
         likely = materialise(arrow_map(both.select("a", "b", "n1", "n2", "c1", "c2"), run, "a long, b long, n1 int, n2 int"), "jaccard-likely")
+        if not likely.head(1):
+            return likely.withColumn("shared", F.lit(0))
         ends = likely.select(F.col("a").alias("node")).unionByName(likely.select(F.col("b").alias("node"))).distinct()
         wanted = materialise(self.nodes.join(ends, "node").select("node", "doc_id", *_KEY), "jaccard-wanted")
         sets = _sets(self.docs, wanted, self.words, self.known)
@@ -360,9 +362,9 @@ class _Join:
             for own, new in (("pivot", "_next"), ("pivot_n", "_next_n"), ("pivot_at", "_next_at")):
                 members = members.withColumn(own, F.when(large, F.col(new)).otherwise(F.col(own)))
             members = members.drop("left", "_next", "_next_n", "_next_at")
-        return self._pair(members.drop("left", "_next", "_next_n", "_next_at"), checked, held)
+        return self._pair(members.drop("left", "_next", "_next_n", "_next_at"), checked, comps, held)
 
-    def _pair(self, members: DataFrame, checked: DataFrame, held: list[DataFrame]) -> DataFrame:
+    def _pair(self, members: DataFrame, checked: DataFrame, comps: DataFrame, held: list[DataFrame]) -> DataFrame:
         """Pairs what lies outside its region's pivot component with all other members, checks, and closes the components."""
         distance = checked.select("a", "b", (1 - F.col("shared") / (F.col("n1") + F.col("n2") - F.col("shared"))).alias("d"))
         members = members.withColumn("_a", F.greatest("node", "pivot")).withColumn("_b", F.least("node", "pivot")).join(distance.select(F.col("a").alias("_a"), F.col("b").alias("_b"), "d"), ["_a", "_b"], "left").select("token", "node", "n", "at", "comp", "pivot_comp", "d")
@@ -380,8 +382,10 @@ class _Join:
         pairs = x.join(y, (F.col("x.token") == F.col("y.token")) & (F.col("x.comp") != F.col("y.comp")) & once & self._near(F.col("x.n"), F.col("x.at"), F.col("y.n"), F.col("y.at")) & window & ~F.arrays_overlap("x.before", "y.before"))
         pairs = pairs.select(F.greatest("x.node", "y.node").alias("a"), F.least("x.node", "y.node").alias("b")).distinct()
         pairs = pairs.join(checked.select("a", "b"), ["a", "b"], "left_anti")
-        found = self.check(pairs)
-        self.links = self.links.unionByName(self.linked(found))
+        more = self.linked(self.check(pairs))
+        if not more.head(1):
+            return comps
+        self.links = self.links.unionByName(more)
         return components(self.links)
 
 
