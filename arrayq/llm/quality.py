@@ -5,7 +5,8 @@ words, so case and spacing do not matter.  Across documents the distinct
 contents that hold a line are counted for each host.  Lines above
 ``max_line_docs`` are boilerplate: their words are taken off the documents that
 hold them, and a document with less than ``min_left_percent`` of its words left
-is depleted and rejected.  Exact copies of a text count once, so a page that
+is depleted and rejected; :func:`quality_filter` removes those lines from the
+texts it keeps and leaves the other lines, empty ones too, in their order.  Exact copies of a text count once, so a page that
 was merely crawled often does not condemn its own lines.
 
 Base rules come first: documents of fewer than ``MIN_WORDS`` words, or with
@@ -36,6 +37,7 @@ _SYMBOL = np.zeros(256, bool)
 _SYMBOL[list(b"#*$%&|<>")] = True
 _COUNTS = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
 _SCHEMA = "n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, content long, lines array<long>, line_words array<long>"
+_PLACES = ", line_places array<array<int>>"
 
 
 def _per_text(flags: np.ndarray, at: np.ndarray) -> np.ndarray:
@@ -57,18 +59,18 @@ def _in_repeats(rolled: np.ndarray, owner: np.ndarray, at: np.ndarray) -> np.nda
     return covered
 
 
-def _distinct(owner: np.ndarray, keys: np.ndarray, n: int, weights: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """For each text its distinct keys: bounds, keys, summed weights."""
+def _distinct(owner: np.ndarray, keys: np.ndarray, n: int, weights: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """For each text its distinct keys: bounds, keys, summed weights; the order that sorts by key, and where each key begins in it."""
     order = np.lexsort((keys, owner))
     owner, keys, weights = owner[order], keys[order], weights[order]
     first = np.concatenate(([True], (owner[1:] != owner[:-1]) | (keys[1:] != keys[:-1]))) if len(owner) else np.zeros(0, bool)
     heads = np.flatnonzero(first)
     sums = np.add.reduceat(weights, heads) if len(heads) else weights
-    return np.concatenate(([0], np.cumsum(np.bincount(owner[heads], minlength=n)))), keys[heads], sums
+    return np.concatenate(([0], np.cumsum(np.bincount(owner[heads], minlength=n)))), keys[heads], sums, order, heads
 
 
 def _profile(part: Texts) -> list[pa.Array]:
-    """For each text the counts, a content hash, and its distinct lines with the words they hold in all."""
+    """For each text the counts, a content hash, and its distinct lines with the words they hold in all and the places where they stand."""
     n = len(part)
     starts, ends, at = part.words()
     owner = np.repeat(np.arange(n), np.diff(at))
@@ -83,30 +85,33 @@ def _profile(part: Texts) -> list[pa.Array]:
     from_ = np.minimum(from_, to)  # a text may end in a line feed
     w0, w1 = np.searchsorted(starts, from_), np.searchsorted(starts, to)
     full = w1 > w0
+    places = (np.arange(len(line_owner)) - np.searchsorted(line_owner, line_owner))[full]
     from_, to, w0, w1, line_owner = from_[full], to[full], w0[full], w1[full], line_owner[full]
-    raw_at, _, _ = _distinct(line_owner, part.hashes(from_, to), n, w1 - w0)
-    lines_at, lines, line_words = _distinct(line_owner, sequences(folded, w0, w1), n, w1 - w0)
+    raw_at, *_ = _distinct(line_owner, part.hashes(from_, to), n, w1 - w0)
+    lines_at, lines, line_words, order, heads = _distinct(line_owner, sequences(folded, w0, w1), n, w1 - w0)
     return [
         *(pa.array(x.astype(np.int64)) for x in (np.diff(at), _per_text(points[ends] - points[starts], at), _per_text(_SYMBOL[part.data], part.at), np.bincount(line_owner, minlength=n) - np.diff(raw_at), _per_text(covered, at))),
         pa.array(sequences(folded, at[:-1], at[1:]).view(np.int64)),
         pa.ListArray.from_arrays(pa.array(lines_at, pa.int32()), pa.array(lines.view(np.int64))),
         pa.ListArray.from_arrays(pa.array(lines_at, pa.int32()), pa.array(line_words.astype(np.int64))),
+        pa.ListArray.from_arrays(pa.array(lines_at, pa.int32()), pa.ListArray.from_arrays(pa.array(np.append(heads, len(order)), pa.int32()), pa.array(places[order].astype(np.int32)))),
     ]
 
 
-def _profiles(docs: DataFrame, host: str) -> DataFrame:
+def _profiles(docs: DataFrame, host: str, places: bool = False) -> DataFrame:
+    schema = _SCHEMA + _PLACES if places else _SCHEMA
     narrow = docs.select("doc_id", F.col("text").cast("string").alias("text"), _host(host).alias("host"), F.monotonically_increasing_id().alias("row"), _row_key(host).alias("row_key"))
     kept = ("doc_id", "host", "row", "row_key")
-    names = [*kept, *(x.split()[0] for x in _SCHEMA.split(", "))]
+    names = [*kept, *(x.split()[0] for x in schema.split(", "))]
     id_type = narrow.schema["doc_id"].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in slices(batch.column(1)):
                 own = batch.slice(part.first, len(part))
-                yield pa.RecordBatch.from_arrays([*(own.column(own.schema.get_field_index(c)) for c in kept), *_profile(part)], names)
+                yield pa.RecordBatch.from_arrays([*(own.column(own.schema.get_field_index(c)) for c in kept), *_profile(part)][: len(names)], names)
 
-    return materialise(arrow_map(narrow, run, f"doc_id {id_type}, host string, row long, row_key long, {_SCHEMA}"), "quality-profiles")
+    return materialise(arrow_map(narrow, run, f"doc_id {id_type}, host string, row long, row_key long, {schema}"), "quality-profiles")
 
 
 def _host(host: str) -> Column:
@@ -124,22 +129,39 @@ def judge(docs: DataFrame, host: str = "source", max_line_docs: int = MAX_LINE_D
 
 
 def _judged(profiles: DataFrame, max_line_docs: int, min_left_percent: int, *more: str) -> DataFrame:
-    lines = profiles.select("host", "content", "row", F.explode(F.arrays_zip("lines", "line_words")).alias("l")).select("host", "content", "row", F.col("l.lines").alias("line"), F.col("l.line_words").alias("words"))
+    """Verdicts; profiles with places also give ``boilerplate``, the places of the lines to remove."""
+    placed = "line_places" in profiles.columns
+    lines = profiles.select("host", "content", "row", F.posexplode(F.arrays_zip("lines", "line_words")).alias("at", "l")).select("host", "content", "row", "at", F.col("l.lines").alias("line"), F.col("l.line_words").alias("words"))
     once = lines.select("host", "line", "content").distinct()
     common = once.groupBy("host", "line").agg(F.count(F.lit(1)).alias("docs")).where(F.col("docs") > max_line_docs).select("host", "line")
-    taken = lines.join(common, ["host", "line"]).groupBy("row").agg(F.sum("words").alias("taken"))
+    taken = lines.join(common, ["host", "line"]).groupBy("row").agg(F.sum("words").alias("taken"), *([F.collect_list("at").alias("ats")] if placed else []))
     joined = profiles.drop("lines", "line_words", "content", "host").join(taken, "row", "left")
     n, taken_words = F.col("n_words"), F.coalesce(F.col("taken"), F.lit(0)).cast("long")
     failed = (n < MIN_WORDS) | (F.col("n_repeat_words") * 100 > n * 50)
     kept = ~failed & ((n - taken_words) * 100 >= n * min_left_percent)
-    return joined.select("doc_id", *more, *_COUNTS, failed.alias("base_failed"), kept.alias("kept"), taken_words.alias("n_boilerplate_words"))
+    boilerplate = [F.array_sort(F.flatten(F.transform("ats", lambda i: F.get("line_places", i)))).alias("boilerplate")] if placed else []
+    return joined.select("doc_id", *more, *_COUNTS, failed.alias("base_failed"), kept.alias("kept"), taken_words.alias("n_boilerplate_words"), *boilerplate)
+
+
+def _without(text: Column, places: Column) -> Column:
+    """``text`` without the lines at ``places``; the outer ``transform`` splits it once only."""
+
+    def left(lines: Column) -> Column:
+        stay = F.array_except(F.sequence(F.lit(0), F.size(lines) - 1), places)
+        return F.array_join(F.transform(stay, lambda i: F.get(lines, i)), "\n")
+
+    return F.get(F.transform(F.array(F.split(text, "\n", -1)), left), F.lit(0))
 
 
 def quality_filter(docs: DataFrame, host: str = "source", max_line_docs: int = MAX_LINE_DOCS, min_left_percent: int = MIN_LEFT_PERCENT) -> DataFrame:
-    """The documents that are kept, with all their columns."""
-    judged = _judged(_profiles(docs, host), max_line_docs, min_left_percent, "row_key")
-    bad = materialise(judged.where(~F.col("kept")).select("row_key").distinct(), "quality-rejected")
-    return docs.withColumn("_row_key", _row_key(host)).join(bad.withColumnRenamed("row_key", "_row_key"), "_row_key", "left_anti").drop("_row_key")
+    """The documents that are kept, with all their columns, and ``text`` without boilerplate lines."""
+    judged = _judged(_profiles(docs, host, places=True), max_line_docs, min_left_percent, "row_key")
+    touched = judged.where(~F.col("kept") | F.col("boilerplate").isNotNull()).select("row_key", "kept", F.when(F.col("kept"), F.col("boilerplate")).alias("places"))
+    verdicts = materialise(touched.distinct(), "quality-verdicts").select(F.col("row_key").alias("_row_key"), F.struct("kept", "places").alias("_verdict"))
+    found = docs.withColumn("_row_key", _row_key(host)).join(verdicts, "_row_key", "left").where(F.coalesce(F.col("_verdict.kept"), F.lit(True)))
+    text = F.col("text").cast("string")
+    cleaned = F.when(F.col("_verdict.places").isNotNull(), _without(text, F.col("_verdict.places"))).otherwise(text)
+    return found.withColumn("text", cleaned).drop("_row_key", "_verdict")
 
 
 #: The query's rows in plain SQL (lines compared as strings instead of hashes).

@@ -1,7 +1,7 @@
 """From raw documents to packed training sequences, in five stages.
 
 Each stage takes ``(spark, docs, sf_dir)`` and works on all that its predecessor
-kept; ``docs`` has the columns of ``documents``.  All but the last return those
+kept, the first removes boilerplate lines from the texts; ``docs`` has the columns of ``documents``.  All but the last return those
 columns; the last returns the places of the packed pieces.  Stages are written
 as Parquet between each other.
 """
@@ -11,14 +11,16 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from arrayq.llm import exact_dedup, jaccard_join, language_id, packing, quality
 from arrayq.llm.shared import materialise
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that pass the base rules and are not depleted of their lines."""
-    return quality.quality_filter(docs)
+    """Documents that pass the base rules and are not depleted of their lines, without their boilerplate lines."""
+    kept = quality.quality_filter(docs)
+    return kept.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

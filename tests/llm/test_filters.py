@@ -4,6 +4,7 @@ from collections import Counter, defaultdict
 
 import pytest
 
+import corpus_pipeline
 from arrayq.llm import language_id, quality, toxicity, url_filter
 from tests.llm.corpus import documents, frame, prose
 
@@ -53,6 +54,20 @@ def test_quality_filter_keeps_columns_and_kept_rows(spark):
     assert kept.columns == docs.columns and {repr(r.doc_id) for r in kept.collect()} == good
 
 
+def test_quality_filter_removes_boilerplate_lines(spark):
+    rng = random.Random(5)
+    bodies = [prose(rng, "en", 60) for _ in range(12)]
+    rows = [(k, f"Shared  Banner\n\n{b}\nshared banner\n", "en", "h", None, 7, True, 9) for k, b in enumerate(bodies)]
+    rows += [(20, f"shared banner\n{bodies[0]}", "en", "other", None, 7, True, 9), (21, f"é\r\n\n{bodies[1]}\n\n", "en", "h", None, 7, True, 9)]
+    rows += [rows[0]]
+    got = quality.quality_filter(frame(spark, rows), max_line_docs=8).collect()
+    want = [(k, f"\n{b}\n") for k, b in enumerate(bodies)] + [r[:2] for r in rows[12:14]] + [(0, f"\n{bodies[0]}\n")]
+    assert sorted((r.doc_id, r.text) for r in got) == sorted(want)
+    banner = [(k, f"Shared Banner\n{prose(rng, 'en', 60)}", "en", "h", 1, 7, True, 9) for k in range(quality.MAX_LINE_DOCS + 1)]
+    staged = corpus_pipeline.quality_rules(spark, frame(spark, banner), "").collect()
+    assert {(r.doc_id, r.text, r.n_chars) for r in staged} == {(r[0], r[1][14:], len(r[1]) - 14) for r in banner}
+
+
 def test_empty_tables(spark):
     empty = frame(spark, []).limit(0)
     labels = spark.createDataFrame([], "doc_id long, toxic int")
