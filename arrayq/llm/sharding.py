@@ -13,7 +13,7 @@ that runs again after a lost executor writes the same rows.
 
 Defined results: null text has size 1 and the CRC of the empty string; rows
 with equal text are dealt out like any others; repeated rows stay as many as
-they are; an empty table gives an empty table; extra columns are carried by
+they are; buckets are sized by the measured bytes of whole rows; an empty table gives an empty table; extra columns are carried by
 :func:`external_shuffle` whatever their names.
 """
 
@@ -21,8 +21,11 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
+from arrayq.llm.shared import new_path
+
 SHARDS = 8
 SEED = 20240611
 BUCKET_BYTES = 32 << 20
@@ -41,14 +44,29 @@ def _starts(sizes: DataFrame) -> DataFrame:
     return inner.join(outer, "_block").select("_bucket", (F.col("_inner") + F.col("_outer")).alias("_start"))
 
 
-def external_shuffle(rows: DataFrame, key: list[str], n_shards: int = SHARDS, seed: int = SEED, n_buckets: int | None = None, row_bytes: int = 64, bucket_bytes: int = BUCKET_BYTES) -> DataFrame:
+def _weight(value: Column, kind: T.DataType) -> Column:
+    """Bytes of a value: of texts their own, of anything else about eight, of lists eight an element."""
+    if isinstance(kind, T.StructType):
+        own = [_weight(value[f.name], f.dataType) for f in kind.fields]
+        return sum(own[1:], own[0]) if own else F.lit(8)
+    if isinstance(kind, (T.StringType, T.BinaryType)):
+        return F.coalesce(F.octet_length(value), F.lit(0)).cast("long") + 8
+    return F.greatest(F.size(value), F.lit(1)).cast("long") * 8 if isinstance(kind, (T.ArrayType, T.MapType)) else F.lit(8).cast("long")
+
+
+def measured_bytes(rows: DataFrame) -> int:
+    """What all rows weigh."""
+    return rows.agg(F.sum(_weight(F.struct(*[F.col(f"`{c}`") for c in rows.columns]), rows.schema))).first()[0] or 0
+
+
+def external_shuffle(rows: DataFrame, key: list[str], n_shards: int = SHARDS, seed: int = SEED, n_buckets: int | None = None, bucket_bytes: int = BUCKET_BYTES) -> DataFrame:
     """All columns of ``rows`` as struct ``row``, with ``shard`` and ``slot``.
 
     ``key`` names columns that tell rows apart.  Without ``n_buckets`` the rows
-    are counted once; ``row_bytes`` is what one is taken to weigh.
+    are weighed once, and there are as many as keep a bucket near ``bucket_bytes``.
     """
     if n_buckets is None:
-        n_buckets = max(1, -(-rows.count() * row_bytes // bucket_bytes))
+        n_buckets = max(1, -(-measured_bytes(rows) // bucket_bytes))
         # a bucket is one task's work, so there are never fewer than the tasks that can run
         n_buckets = max(n_buckets, rows.sparkSession.sparkContext.defaultParallelism * 2)
     bucket = F.pmod(F.xxhash64(F.lit(seed), *key), F.lit(n_buckets))
@@ -64,19 +82,25 @@ def external_shuffle(rows: DataFrame, key: list[str], n_shards: int = SHARDS, se
     return spread.select(F.col("_r.row").alias("row"), (place % n_shards).cast("int").alias("shard"), F.expr(f"(_start + _i) div {n_shards}").alias("slot"))
 
 
-def write_shards(rows: DataFrame, key: list[str], path: str, n_shards: int = SHARDS, seed: int = SEED, row_bytes: int = 4096) -> None:
+def write_shards(rows: DataFrame, key: list[str], path: str, n_shards: int = SHARDS, seed: int = SEED) -> None:
     """Writes the shuffled rows as ``path/shard=k/*.parquet``, each file in slot order."""
-    dealt = external_shuffle(rows, key, n_shards, seed, row_bytes=row_bytes)
+    dealt = external_shuffle(rows, key, n_shards, seed)
     dealt.select("row.*", F.col("shard").alias("shard"), F.col("slot").alias("slot")).sortWithinPartitions("shard", "slot").write.partitionBy("shard").parquet(path)
 
 
-def _text_bytes(text: Column) -> Column:
-    return F.coalesce(text, F.lit("")).cast("string")
-
-
 def shard_documents(docs: DataFrame, n_shards: int = SHARDS, seed: int = SEED) -> DataFrame:
-    """doc_id, size, text_crc32, law, shard, slot, grown_shard for each document."""
-    text = _text_bytes(docs["text"])
-    narrow = docs.select("doc_id", (F.octet_length(text) + 1).cast("long").alias("size"), F.crc32(text.cast("binary")).alias("text_crc32"))
-    dealt = external_shuffle(narrow, ["doc_id"], n_shards, seed)
-    return dealt.select("row.doc_id", "row.size", "row.text_crc32", F.lit("rows").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
+    """doc_id, size, text_crc32, law, shard, slot, grown_shard for each document, as read back from the shards.
+
+    The shards hold whole documents, as struct ``doc`` since a document may have
+    a ``shard`` of its own; ``written_at`` of the result is their folder.
+    """
+    spark = docs.sparkSession
+    whole = docs.select("doc_id", F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("doc"))
+    path = new_path(spark, "shards")
+    write_shards(whole, ["doc_id"], path, n_shards, seed)
+    shards = spark.read.schema(T.StructType([*whole.schema.fields, T.StructField("slot", T.LongType()), T.StructField("shard", T.IntegerType())])).parquet(path)
+    text = F.coalesce(F.col("doc.text"), F.lit("")).cast("string")
+    size, crc = (F.octet_length(text) + 1).cast("long"), F.crc32(text.cast("binary"))
+    out = shards.select("doc_id", size.alias("size"), crc.alias("text_crc32"), F.lit("rows").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
+    out.written_at = path
+    return out

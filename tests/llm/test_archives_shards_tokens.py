@@ -5,6 +5,7 @@ from collections import Counter, defaultdict
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 import corpus_pipeline
 from arrayq.llm import packing, pieces, sharding, warc
@@ -97,6 +98,17 @@ def test_written_shards_hold_all_rows_in_slot_order(spark, tmp_path):
     assert sharding.shard_documents(frame(spark, []).limit(0)).count() == 0
 
 
+def test_documents_are_sharded_whole(spark):
+    docs = frame(spark)
+    got = sharding.shard_documents(docs, 4)
+    held = spark.read.parquet(got.written_at).select("doc.*", F.col("shard").alias("own_shard"), "slot")
+    assert Counter(map(repr, held.drop("own_shard", "slot").collect())) == Counter(map(repr, docs.collect()))
+    places = Counter((r.doc_id, len((r.text or "").encode()) + 1, r.own_shard, r.slot) for r in held.collect())
+    assert places == Counter((r.doc_id, r["size"], r.shard, r.slot) for r in got.collect())
+    long = docs.withColumn("text", F.repeat(F.lit("x"), 1 << 20))
+    assert docs.count() << 20 <= sharding.measured_bytes(long) < docs.count() << 21
+
+
 # --- packing
 
 
