@@ -65,14 +65,8 @@ def arrow_map(df: DataFrame, run: Callable[[Iterator[pa.RecordBatch]], Iterator[
 
 
 def discard(*written: DataFrame) -> None:
-    """Deletes tables that :func:`materialise` wrote, once nothing reads them any more.
-
-    Also lets the driver collect what it no longer refers to: only then do
-    executors drop the shuffle files of finished steps.
-    """
+    """Deletes tables that :func:`materialise` wrote, once nothing reads them any more."""
     for df in written:
         spark = df.sparkSession
         target = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(df.written_at)
         target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(target, True)
-    if written:
-        written[0].sparkSession.sparkContext._jvm.System.gc()

@@ -85,11 +85,11 @@ def test_near_groups_on_awkward_rows(spark, words, percent):
     assert sorted((repr(r.doc_id), r.n_shingles, repr(r.component_id)) for r in got) == brute(documents(), words, percent)
 
 
-@pytest.mark.parametrize(("region", "pairs"), [(1024, 1), (4, 0)])
-def test_near_groups_in_large_regions(spark, monkeypatch, region, pairs):
-    """Families whose members are just within or beyond the threshold, and a passage that all documents share."""
-    monkeypatch.setattr(jaccard_join, "REGION", region)
-    monkeypatch.setattr(jaccard_join, "PAIRS_PER_MEMBER", pairs)
+@pytest.mark.parametrize(("region", "progress", "bucket", "block"), [(1024, 0.75, 1 << 24, 1 << 20), (4, 2.0, 256, 100)])
+def test_near_groups_in_large_regions(spark, monkeypatch, region, progress, bucket, block):
+    """Families whose members are just within or beyond the threshold, and a passage that all documents share; with many buckets and blocks, too."""
+    for name, value in (("REGION", region), ("PROGRESS", progress), ("BUCKET_BYTES", bucket), ("BLOCK", block), ("BLOCK_MOST", block)):
+        monkeypatch.setattr(jaccard_join, name, value)
     rng = random.Random(5)
     passage = " ".join(f"p{i}" for i in range(40))
     texts = family(rng, 60, 60, 4) + family(rng, 40, 120, 6) + [f"{passage} " + " ".join(f"u{k}x{i}" for i in range(rng.randint(1, 30))) for k in range(60)] + [passage] * 20
@@ -107,10 +107,11 @@ def test_near_dedup_keeps_one_of_each_group(spark):
     assert kept.columns == docs.columns and {repr(r.doc_id) for r in kept.collect()} - {"None"} == want
 
 
-def test_components_of_chains_and_stars(spark):
+@pytest.mark.parametrize("local", [0, 1000])
+def test_components_of_chains_and_stars(spark, local):
     rng = random.Random(1)
     links = [(i, i + 1) for i in range(60)] + [(100, 101 + k) for k in range(50)] + [(rng.randint(200, 260), rng.randint(200, 260)) for _ in range(40)]
-    got = {r.node: r.comp for r in components(spark.createDataFrame(links, "a long, b long")).collect()}
+    got = {r.node: r.comp for r in components(spark.createDataFrame(links, "a long, b long"), local).collect()}
     assert {got[i] for i in range(61)} == {0} and {got[i] for i in range(100, 151)} == {100}
     for a, b in links:
         assert a == b or got[a] == got[b] <= min(a, b)
