@@ -21,11 +21,12 @@ once each; an empty table gives an empty table; extra columns are ignored.
 
 from __future__ import annotations
 
+import unicodedata
 import zlib
 from collections.abc import Iterator
 from functools import lru_cache
 from heapq import heappop, heappush
-from itertools import pairwise
+from itertools import chain, pairwise
 
 import numpy as np
 import pyarrow as pa
@@ -44,6 +45,21 @@ CACHE_WORDS = 200_000
 _BATCH_BYTES = 4 << 20
 
 
+#: ASCII signs other than the apostrophe: at the end of a word they are tokens of their own.
+_MARKS = bytes(b for b in range(33, 127) if not chr(b).isalnum() and chr(b) != "'")
+#: The byte-level alphabet: printable bytes stand for themselves, the others follow from 256 on; spaces stay, as they part words here.
+_SHOWN = [*range(33, 127), *range(161, 173), *range(174, 256)]
+_BYTE_LEVEL = {b: 256 + k for k, b in enumerate(b for b in range(256) if b not in _SHOWN) if b != 32}
+
+
+def _small_letters(word: bytes) -> bool:
+    """Whether a word with bytes beyond ASCII is letters only, composed and in lower case."""
+    if word.isascii():
+        return False
+    text = word.decode()
+    return text.isalpha() and text.lower() == text and unicodedata.is_normalized("NFC", text)
+
+
 def tokenizer_path(name: str = "word_bpe_49k.json") -> str:
     """Where a public vocabulary file lies."""
     import public_tokenizers
@@ -56,8 +72,8 @@ class WordEncoder:
 
     The tokenizer lower-cases, drops white space and lets no token span it, so a
     text's ids are those of its words (runs without ``[\\x20\\x09-\\x0D]``) one
-    after another; and a full stop or comma that ends a word after a plain
-    letter or digit is a token of its own.
+    after another; and signs that end a word after letters or digits share no
+    token with them.
     """
 
     def __init__(self, path: str, most: int = CACHE_WORDS) -> None:
@@ -66,14 +82,28 @@ class WordEncoder:
         self.tokenizer, self.most = Tokenizer.from_file(path), most
         self.bar, *more = self.tokenizer.encode("|", add_special_tokens=False).ids
         assert not more, "the bar must be one token"
-        self.stops = {w: self._alone(w) for w in (b".", b",")}
-        self.cache, self.older = dict(self.stops), {}
+        # does the model see a word of small letters as its bytes?
+        self.plain = all(self._letters(w.encode()) == self._alone(w.encode()) for w in ("a", "plain", "words", "qxzjvkw", "é", "größe", "señal", "日本語"))
+        self.cache: dict[bytes, bytes] = {}
+        self.older: dict[bytes, bytes] = {}
 
     def _alone(self, word: bytes) -> bytes:
         return np.array(self.tokenizer.encode(word.decode(), add_special_tokens=False).ids, "<u4").tobytes()
 
+    def _letters(self, word: bytes) -> bytes:
+        """The ids of a word of small letters, by the model alone."""
+        return np.array([t.id for t in self.tokenizer.model.tokenize(word.decode("latin-1").translate(_BYTE_LEVEL))], "<u4").tobytes()
+
     def _learn(self, words: list[bytes]) -> None:
-        """Puts the ids of ``words`` into the cache; words without a bar go through the tokenizer in one line, bars between."""
+        """Puts the ids of ``words`` into the cache; words with other characters than letters go through the whole tokenizer in one line, bars between."""
+        if self.plain:
+            letters = [w for w in words if w.isalpha() or _small_letters(w)]
+            tokenize = self.tokenizer.model.tokenize
+            found = [[t.id for t in tokenize(w)] for w in b" ".join(letters).decode("latin-1").translate(_BYTE_LEVEL).split(" ") if w]
+            flat, at = np.fromiter(chain.from_iterable(found), "<u4").tobytes(), 0
+            for w, ids in zip(letters, found, strict=True):
+                self.cache[w] = flat[at : (at := at + 4 * len(ids))]
+            words = list(set(words).difference(letters))
         plain = [w for w in words if b"|" not in w]
         for i in range(0, len(plain), 1000):
             some = plain[i : i + 1000]
@@ -99,12 +129,18 @@ class WordEncoder:
         # bytes.lower() folds A-Z only and bytes.split() cuts at exactly the six ASCII spaces
         split = [t.lower().split() for t in texts]
         if len(self.cache) > self.most:
-            self.cache, self.older = dict(self.stops), self.cache
+            self.cache, self.older = {}, self.cache
         unknown = self._known(set().union(*split))
-        stopped = [w for w in unknown if w[-1] in b".," and w[-2:-1].isalnum()]
-        self._learn(list(self._known(unknown.difference(stopped) | {w[:-1] for w in stopped})))
+        tailed = []
+        for w in unknown:
+            if w[-1] in _MARKS:
+                head = w.rstrip(_MARKS)
+                if head.isalnum() or _small_letters(head):
+                    tailed.append((w, head, w[len(head) :]))
+        parts = {x for _, *both in tailed for x in both}
+        self._learn(list(self._known(unknown.difference(w for w, _, _ in tailed) | parts)))
         cache = self.cache
-        cache |= {w: cache[w[:-1]] + cache[w[-1:]] for w in stopped}
+        cache |= {w: cache[head] + cache[tail] for w, head, tail in tailed}
         return [b"".join(map(cache.__getitem__, words)) for words in split]
 
 
