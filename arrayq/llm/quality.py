@@ -3,7 +3,8 @@
 Each text is split at line feeds; a line's hash is taken over its lower-cased
 words, so case and spacing do not matter.  Across documents the distinct
 contents that hold a line are counted for each host.  Lines above
-``max_line_docs`` are boilerplate: their words are taken off the documents that
+``max_line_docs`` and above one in ``LINE_SHARE`` of the host's contents are
+boilerplate: their words are taken off the documents that
 hold them, and a document with less than ``min_left_percent`` of its words left
 is depleted and rejected; :func:`quality_filter` removes those lines from the
 texts it keeps and leaves the other lines, empty ones too, in their order.  Exact copies of a text count once, so a page that
@@ -32,6 +33,10 @@ from arrayq.llm.spans import Texts, mix, sequences, slices, windows
 
 MIN_WORDS = 50
 MAX_LINE_DOCS = 40
+#: A line in at most one of so many of its host's distinct contents is no boilerplate either.
+LINE_SHARE = 500
+#: Verdicts that may be broadcast, and the places in them (about 16 MB each).
+BROADCAST_VERDICTS, BROADCAST_PLACES = 300_000, 4_000_000
 MIN_LEFT_PERCENT = 40
 _SYMBOL = np.zeros(256, bool)
 _SYMBOL[list(b"#*$%&|<>")] = True
@@ -133,7 +138,10 @@ def _judged(profiles: DataFrame, max_line_docs: int, min_left_percent: int, *mor
     placed = "line_places" in profiles.columns
     lines = profiles.select("host", "content", "row", F.posexplode(F.arrays_zip("lines", "line_words")).alias("at", "l")).select("host", "content", "row", "at", F.col("l.lines").alias("line"), F.col("l.line_words").alias("words"))
     once = lines.select("host", "line", "content").distinct()
-    common = once.groupBy("host", "line").agg(F.count(F.lit(1)).alias("docs")).where(F.col("docs") > max_line_docs).select("host", "line")
+    often = once.groupBy("host", "line").agg(F.count(F.lit(1)).alias("docs")).where(F.col("docs") > max_line_docs)
+    # contents are told apart first, so a host with most of them is counted from many partial counts
+    hosts = profiles.where(F.size("lines") > 0).select("host", "content").distinct().groupBy("host").agg(F.count(F.lit(1)).alias("contents"))
+    common = often.join(hosts.where(F.col("contents") > max_line_docs), "host").where(F.col("docs") * LINE_SHARE > F.col("contents")).select("host", "line")
     taken = lines.join(common, ["host", "line"]).groupBy("row").agg(F.sum("words").alias("taken"), *([F.collect_list("at").alias("ats")] if placed else []))
     joined = profiles.drop("lines", "line_words", "content", "host").join(taken, "row", "left")
     n, taken_words = F.col("n_words"), F.coalesce(F.col("taken"), F.lit(0)).cast("long")
@@ -157,11 +165,16 @@ def quality_filter(docs: DataFrame, host: str = "source", max_line_docs: int = M
     """The documents that are kept, with all their columns, and ``text`` without boilerplate lines."""
     judged = _judged(_profiles(docs, host, places=True), max_line_docs, min_left_percent, "row_key")
     touched = judged.where(~F.col("kept") | F.col("boilerplate").isNotNull()).select("row_key", "kept", F.when(F.col("kept"), F.col("boilerplate")).alias("places"))
-    verdicts = materialise(touched.distinct(), "quality-verdicts").select(F.col("row_key").alias("_row_key"), F.struct("kept", "places").alias("_verdict"))
-    found = docs.withColumn("_row_key", _row_key(host)).join(verdicts, "_row_key", "left").where(F.coalesce(F.col("_verdict.kept"), F.lit(True)))
-    text = F.col("text").cast("string")
+    verdicts = materialise(touched.distinct(), "quality-verdicts")
+    total, places = verdicts.agg(F.count(F.lit(1)), F.coalesce(F.sum(F.greatest(F.size("places"), F.lit(0))), F.lit(0))).first()
+    found = verdicts.select(F.col("row_key").alias("_row_key"), F.struct("kept", "places").alias("_verdict"))
+    # the document's own columns stay in a struct, so none of their names can clash
+    packed = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_doc"), _row_key(host).alias("_row_key"))
+    few = total <= BROADCAST_VERDICTS and places <= BROADCAST_PLACES
+    found = packed.join(F.broadcast(found) if few else found, "_row_key", "left").where(F.coalesce(F.col("_verdict.kept"), F.lit(True)))
+    text = F.col("_doc.text").cast("string")
     cleaned = F.when(F.col("_verdict.places").isNotNull(), _without(text, F.col("_verdict.places"))).otherwise(text)
-    return found.withColumn("text", cleaned).drop("_row_key", "_verdict")
+    return found.select(*[cleaned.alias(c) if c == "text" else F.col(f"_doc.`{c}`").alias(c) for c in docs.columns])
 
 
 #: The query's rows in plain SQL (lines compared as strings instead of hashes).
@@ -188,8 +201,11 @@ WITH d AS (
   SELECT doc_id, count(*) - count(DISTINCT raw) AS n FROM full_lines GROUP BY doc_id
 ), content AS (
   SELECT doc_id, translate(array_to_string(w, ' '), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS body FROM d
+), hosts AS (
+  SELECT host, count(DISTINCT body) AS contents FROM full_lines JOIN content USING (doc_id) GROUP BY host
 ), common AS (
-  SELECT host, norm FROM full_lines JOIN content USING (doc_id) GROUP BY host, norm HAVING count(DISTINCT body) > {MAX_LINE_DOCS}
+  SELECT host, norm FROM (SELECT host, norm, count(DISTINCT body) AS docs FROM full_lines JOIN content USING (doc_id) GROUP BY host, norm) JOIN hosts USING (host)
+  WHERE docs > {MAX_LINE_DOCS} AND docs * {LINE_SHARE} > contents
 ), taken AS (
   SELECT doc_id, sum(n) AS n FROM full_lines JOIN common USING (host, norm) GROUP BY doc_id
 ), base AS (
