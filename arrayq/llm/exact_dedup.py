@@ -7,9 +7,12 @@ two probes that "set twice" filter by a broadcast join: rows that miss pass
 straight through, and only possible repeats are shuffled, grouped by their full
 SHA-256 and joined to the row that stays.
 
-The broadcast filter never has more than ``max_bits`` bits.  Beyond the size at
-which ``max_bits`` holds ``bits_per_row`` bits a row, more unique rows are
-regrouped in vain; the result is the same.
+A filter never has more than ``max_bits`` bits.  Beyond the number of rows for
+which these are ``bits_per_row`` a row, the narrow table of keys is dealt into
+ranges of hashes, written apart, and both passes run range by range, each with a
+filter of its own.  :func:`exact_dedup` then probes the texts with a filter over
+the hashes that truly repeat; where these outgrow it, more unique rows are
+regrouped in vain, with the same result.
 
 Defined results: null text counts as empty; empty texts are equal to each
 other; of rows with equal text the least ``doc_id`` stays (null ids last); of
@@ -21,8 +24,9 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from arrayq.llm.shared import materialise
+from arrayq.llm.shared import discard, materialise, new_path
 
 BITS_PER_ROW = 16
 MAX_BITS = 1 << 26
@@ -55,13 +59,42 @@ def _set_twice(slots: DataFrame) -> DataFrame:
     return twice.groupBy("_w").agg(F.expr("bit_or(shiftleft(1L, cast(_b as int)))").alias("_bits"))
 
 
-def _hashed(docs: DataFrame, bits_per_row: int, max_bits: int) -> tuple[DataFrame, int]:
-    keys = docs.select(F.col("doc_id").alias("_id"), _digest(docs["text"]).alias("_h"), F.monotonically_increasing_id().alias("_row"))
-    keys = materialise(keys, "dedup-keys")
-    n = keys.count()  # from the files' footers
-    n_words = max(64, min(max_bits, n * bits_per_row) // _WORD)
+def _keys(docs: DataFrame) -> DataFrame:
+    return materialise(docs.select(F.col("doc_id").alias("_id"), _digest(docs["text"]).alias("_h"), F.monotonically_increasing_id().alias("_row")), "dedup-keys")
+
+
+def _slotted(keys: DataFrame, n_words: int) -> DataFrame:
     w, b1, b2 = _slots(F.col("_h"), n_words)
-    return keys.select("_id", "_h", "_row", w.alias("_w"), b1.alias("_b1"), b2.alias("_b2")), n_words
+    return keys.select("_id", "_h", "_row", w.alias("_w"), b1.alias("_b1"), b2.alias("_b2"))
+
+
+def _words(n: int, bits_per_row: int, max_bits: int) -> int:
+    return max(64, min(max_bits, n * bits_per_row) // _WORD)
+
+
+def _probed(docs: DataFrame, bits_per_row: int, max_bits: int) -> DataFrame:
+    """_id, _h, _row and whether the text may repeat, for every row."""
+    keys = _keys(docs)
+    n = keys.count()  # from the files' footers
+    ranges = max(1, -(-n * bits_per_row // max(max_bits, 64 * _WORD)))
+    n_words = _words(-(-n // ranges), bits_per_row, max_bits)
+
+    def one(part: DataFrame) -> DataFrame:
+        slotted = _slotted(part, n_words)
+        # at most max_bits / 64 rows of two longs: a proven bound
+        return slotted.join(F.broadcast(_set_twice(slotted)), "_w", "left").select("_id", "_h", "_row", _maybe().alias("_maybe"))
+
+    if ranges == 1:
+        return one(keys)
+    number = F.conv(F.hex(F.substring("_h", 11, 4)), 16, 10).cast("long") % ranges
+    dealt = new_path(docs.sparkSession, "dedup-ranges")
+    keys.withColumn("_range", number).write.partitionBy("_range").parquet(dealt)
+    discard(keys)
+    spark, out = docs.sparkSession, new_path(docs.sparkSession, "dedup-probed")
+    schema = T.StructType([*keys.schema.fields, T.StructField("_range", T.LongType())])
+    for k in range(ranges):
+        one(spark.read.schema(schema).parquet(dealt).where(F.col("_range") == k)).write.parquet(f"{out}/part={k}")
+    return spark.read.schema(T.StructType([*keys.schema.fields, T.StructField("_maybe", T.BooleanType())])).parquet(*[f"{out}/part={k}" for k in range(ranges)])
 
 
 def _maybe(bits: str = "_bits") -> Column:
@@ -75,9 +108,7 @@ def _best() -> Column:
 
 def exact_groups(docs: DataFrame, bits_per_row: int = BITS_PER_ROW, max_bits: int = MAX_BITS) -> DataFrame:
     """A row for each row of ``docs(doc_id, text)``: doc_id, keep_id, group_size, kept, text_sha256."""
-    keyed, _ = _hashed(docs, bits_per_row, max_bits)
-    # at most max_bits / 64 rows of two longs: a proven bound
-    probed = keyed.join(F.broadcast(_set_twice(keyed)), "_w", "left").withColumn("_maybe", _maybe()).select("_id", "_h", "_row", "_maybe")
+    probed = _probed(docs, bits_per_row, max_bits)
     alone = probed.where(~F.col("_maybe")).select("_id", F.col("_id").alias("keep_id"), F.lit(1).cast("long").alias("group_size"), F.lit(True).alias("kept"), "_h")
     again = probed.where("_maybe")
     # written first, so that the join below shuffles both sides anew and can split a hot group
@@ -89,21 +120,28 @@ def exact_groups(docs: DataFrame, bits_per_row: int = BITS_PER_ROW, max_bits: in
 def exact_dedup(docs: DataFrame, bits_per_row: int = BITS_PER_ROW, max_bits: int = MAX_BITS) -> DataFrame:
     """The rows of ``docs`` that stay, with all their columns.
 
-    Unique rows stream from the scan to the output.  Possible repeats meet the
-    ids that stay; neither is grouped with its text.
+    Rows whose hash is not in the filter of repeated hashes stream from the scan
+    to the output.  The others meet the ids that stay; a hash that no group has
+    was in the filter by chance, and its row stays.
     """
-    keyed, n_words = _hashed(docs, bits_per_row, max_bits)
-    filter_words = materialise(_set_twice(keyed), "dedup-filter")
-    again = keyed.join(F.broadcast(filter_words), "_w").where(_maybe())
-    stay = again.groupBy("_h").agg(F.min(_best()).alias("_keep")).select("_h", F.col("_keep._id").alias("_id"))
+    again = _probed(docs, bits_per_row, max_bits).where("_maybe")
+    groups = again.groupBy("_h").agg(F.min(_best()).alias("_keep"), F.count(F.lit(1)).alias("_n")).where("_n > 1")
+    stay = materialise(groups.select("_h", F.col("_keep._id").alias("_id")), "dedup-stay")
+    n_words = _words(stay.count(), bits_per_row, max_bits)
+    w, b1, b2 = _slots(F.col("_h"), n_words)
+    bits = stay.select(w.alias("_w"), b1.alias("_b1"), b2.alias("_b2"))
+    # at most max_bits / 64 rows of two longs
+    filter_words = materialise(bits.groupBy("_w").agg(F.expr("bit_or(shiftleft(1L, cast(_b1 as int)) | shiftleft(1L, cast(_b2 as int)))").alias("_bits")), "dedup-filter")
     names = docs.columns
     mine = docs.select(F.struct(*[F.col(f"`{c}`") for c in names]).alias("_doc"), F.col("doc_id").alias("_doc_id"), _digest(docs["text"]).alias("_hash"))
     w, b1, b2 = _slots(F.col("_hash"), n_words)
     mine = mine.select("_doc", "_doc_id", "_hash", w.alias("_w"), b1.alias("_b1"), b2.alias("_b2"))
     probed = mine.join(F.broadcast(filter_words), "_w", "left").withColumn("_maybe", _maybe())
     alone = probed.where(~F.col("_maybe")).select("_doc")
-    kept = probed.where("_maybe").join(stay, (F.col("_hash") == stay["_h"]) & F.col("_doc_id").eqNullSafe(stay["_id"])).dropDuplicates(["_h", "_id"]).select("_doc")
-    return alone.unionByName(kept).select("_doc.*")
+    met = probed.where("_maybe").join(stay, F.col("_hash") == stay["_h"], "left")
+    chance = met.where(F.col("_h").isNull()).select("_doc")
+    kept = met.where(F.col("_h").isNotNull() & F.col("_doc_id").eqNullSafe(F.col("_id"))).dropDuplicates(["_h", "_id"]).select("_doc")
+    return alone.unionByName(chance).unionByName(kept).select("_doc.*")
 
 
 #: The query's rows in plain SQL.
