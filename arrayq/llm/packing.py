@@ -41,8 +41,8 @@ CAPACITY = 4096
 END_ID = 1
 SALTS = 1024
 #: Distinct words in each of the two generations of a worker's cache.
-CACHE_WORDS = 200_000
-_BATCH_BYTES = 4 << 20
+CACHE_WORDS = 120_000
+_BATCH_BYTES = 2 << 20
 
 
 #: ASCII signs other than the apostrophe: at the end of a word they are tokens of their own.

@@ -12,10 +12,10 @@ from tests.llm.corpus import documents, frame
 SPACES = r"[\x20\x09-\x0D]+"
 
 
-@pytest.mark.parametrize("bits", [16, 1 << 26])
+@pytest.mark.parametrize("bits", [256, 1 << 26])
 def test_exact_groups(spark, bits):
     docs = documents()
-    got = exact_dedup.exact_groups(frame(spark), max_bits=bits).collect()
+    got = exact_dedup.exact_groups(frame(spark), 400 if bits < 1000 else 16, max_bits=bits).collect()
     groups = collections.defaultdict(list)
     for r in docs:
         groups[re.sub(SPACES, " ", r[1] or "")].append(r[0])
@@ -28,9 +28,11 @@ def test_exact_groups(spark, bits):
         assert sum(r.kept for r in own) == 1
 
 
-def test_exact_dedup_keeps_one_row_of_each_text_and_all_columns(spark):
+@pytest.mark.parametrize(("per_row", "bits"), [(16, 1 << 26), (400, 4096)])
+def test_exact_dedup_keeps_one_row_of_each_text_and_all_columns(spark, per_row, bits):
+    """With one filter, and range by range."""
     docs = frame(spark)
-    kept = exact_dedup.exact_dedup(docs)
+    kept = exact_dedup.exact_dedup(docs, per_row, bits)
     texts = [re.sub(SPACES, " ", r.text or "") for r in kept.collect()]
     assert kept.columns == docs.columns and len(texts) == len(set(texts)) == len({re.sub(SPACES, " ", r[1] or "") for r in documents()})
 
