@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from functools import cached_property
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from arrayq.session import q
@@ -62,14 +62,26 @@ class Data:
         cells = self.table("embeddings", "vec_id", "embedding").select("vec_id", F.posexplode("embedding").alias("c", "v")).select("vec_id", "c", F.col("v").cast("double").alias("v"))
         return Tensor(cells.select(F.col("vec_id").cast("int").alias("i0"), F.col("c").alias("i1"), "v"), (self.size("embeddings"), 64), 2, "double")
 
+    @cached_property
+    def sizes(self) -> Tensor:
+        """Part: its size (dense)."""
+        return Tensor.of(self.table("part", "p_partkey", "p_size").withColumn("p_size", F.col("p_size").cast("double")), (self.parts,), 1, ["p_partkey"], "p_size")
+
+    @cached_property
+    def event_types(self) -> list[str]:
+        return [r[0] for r in self.table("events", "event_type").distinct().orderBy("event_type").collect()]
+
+    @property
+    def event_number(self) -> Column:
+        """An event type's place among all in order."""
+        return (F.array_position(F.lit(self.event_types), F.col("event_type")) - 1).cast("int")
+
     @cached_property
     def activity(self) -> Tensor:
         """User x event type: number of events (dense)."""
-        names = [r[0] for r in self.table("events", "event_type").distinct().orderBy("event_type").collect()]
         users = self.table("events", "user_id").agg(F.max("user_id")).first()[0] + 1
-        at = F.array_position(F.lit(names), F.col("event_type")) - 1
-        cells = self.table("events", "user_id", "event_type").select("user_id", at.cast("int").alias("k")).groupBy("user_id", "k").agg(F.count(F.lit(1)).alias("v"))
-        return Tensor.of(cells, (users, len(names)), 2, ["user_id", "k"])
+        cells = self.table("events", "user_id", "event_type").select("user_id", self.event_number.alias("k")).groupBy("user_id", "k").agg(F.count(F.lit(1)).alias("v"))
+        return Tensor.of(cells, (users, len(self.event_types)), 2, ["user_id", "k"])
 
     @cached_property
     def per_nation(self) -> Tensor:

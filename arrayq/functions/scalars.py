@@ -82,7 +82,6 @@ FUNCTIONS: dict[str, Callable[..., Val]] = {
     "cos": _to("double", F.cos),
     "tanh": _to("double", F.tanh),
     "round": _to("double", F.round),
-    "format": _to("string", lambda f, *a: F.format_string("%s", f) if not a else F.concat(f, *a)),
     "contains": _to("boolean", F.array_contains),
     "range": _to("array<int>", F.sequence),
 }

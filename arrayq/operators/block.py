@@ -15,6 +15,8 @@ from pyspark.sql import functions as F
 from arrayq.tensor import VALUE, Tensor
 
 EDGE = 256
+#: Tiles along the shared dimension that one task multiplies for a result tile.
+DEPTH = 64
 
 
 def packed(t: Tensor, edge: int = EDGE) -> DataFrame:
@@ -39,26 +41,51 @@ def unpacked(blocks: DataFrame, dims: tuple[int, int], edge: int = EDGE) -> Tens
     return Tensor(out, dims, 2, "double")
 
 
-def matmul(a: Tensor, b: Tensor, edge: int = EDGE) -> Tensor:
-    """``a @ b``: tiles meet on their shared coordinate; each task adds up the products it makes for a result tile before they are shuffled."""
-    left = packed(a, edge).select("b0", F.col("b1").alias("k"), F.col("rows").alias("n"), F.col("cols").alias("m"), F.col("data").alias("x"))
-    right = packed(b, edge).select(F.col("b0").alias("k"), "b1", F.col("cols").alias("p"), F.col("data").alias("y"))
-    pairs = left.join(right, "k").select("b0", "b1", "n", "m", "p", "x", "y")
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        names = ["b0", "b1", "cols", "data"]
-        for batch in batches:
-            sums: dict[tuple[int, int], np.ndarray] = {}
-            b0, b1, n, m, p = (batch.column(k).to_pylist() for k in range(5))
-            for i in range(batch.num_rows):
-                x = batch.column(5)[i].values.to_numpy(zero_copy_only=False).reshape(n[i], m[i])
-                y = batch.column(6)[i].values.to_numpy(zero_copy_only=False).reshape(m[i], p[i])
-                made = x @ y
-                key = (b0[i], b1[i])
-                sums[key] = sums[key] + made if key in sums else made
-            keys = list(sums)
-            yield pa.RecordBatch.from_arrays([pa.array([k[0] for k in keys], pa.int32()), pa.array([k[1] for k in keys], pa.int32()), pa.array([sums[k].shape[1] for k in keys], pa.int32()), pa.array([sums[k].ravel() for k in keys], pa.list_(pa.float64()))], names)
-
-    tiles = pairs.mapInArrow(run, "b0 int, b1 int, cols int, data array<double>")
-    cells = unpacked(tiles, (a.dims[0], b.dims[1]), edge).df
-    return Tensor(cells.groupBy("i0", "i1").agg(F.sum(VALUE).alias(VALUE)), (a.dims[0], b.dims[1]), 2, "double")
+def _products(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Adds up the products for each result tile; rows come sorted by result tile, shared coordinate and side."""
+    key, total, left = None, None, None
+
+    def made() -> pa.RecordBatch:
+        b0, b1, _ = key
+        return pa.RecordBatch.from_arrays([pa.array([b0], pa.int32()), pa.array([b1], pa.int32()), pa.array([total.shape[1]], pa.int32()), pa.array([total.ravel()], pa.list_(pa.float64()))], ["b0", "b1", "cols", "data"])
+
+    for batch in batches:
+        b0, b1, part, side, rows, cols = (batch.column(k).to_pylist() for k in (0, 1, 2, 4, 5, 6))
+        for i in range(batch.num_rows):
+            if (b0[i], b1[i], part[i]) != key:
+                if total is not None:
+                    yield made()
+                key, total = (b0[i], b1[i], part[i]), None
+            tile = batch.column(7)[i].values.to_numpy(zero_copy_only=False).reshape(rows[i], cols[i])
+            if side[i] == 0:
+                left = tile
+            else:
+                total = left @ tile if total is None else total + left @ tile
+    if total is not None:
+        yield made()
+
+
+def matmul(a: Tensor, b: Tensor, edge: int = EDGE, depth: int = DEPTH) -> Tensor:
+    """``a @ b`` as a group-by-join on result tiles.
+
+    A left tile is sent to all result tiles of its row and a right one to all of
+    its column, in stretches of ``depth`` tiles along the shared dimension, so
+    the work is dealt out by result tile and stretch, whatever the shape; a task
+    holds one tile of either side and the sum.  Only where the shared dimension
+    has several stretches are their sums added, by cell and with map-side
+    combining.
+    """
+    (n, m), p = a.dims, b.dims[1]
+    if m != b.dims[0]:
+        raise ValueError(f"{a.dims} and {b.dims} do not fit")
+    down, across = -(-n // edge), -(-p // edge)
+    every = lambda count: F.explode(F.sequence(F.lit(0), F.lit(count - 1)))
+    left = packed(a, edge).withColumnRenamed("b1", "k").withColumn("side", F.lit(0)).withColumn("b1", every(across))
+    right = packed(b, edge).withColumnRenamed("b0", "k").withColumn("side", F.lit(1)).withColumn("b0", every(down))
+    both = left.unionByName(right).select("b0", "b1", F.expr(f"cast(k div {depth} as int)").alias("part"), "k", "side", "rows", "cols", "data")
+    dealt = both.repartition("b0", "b1", "part").sortWithinPartitions("b0", "b1", "part", "k", "side")
+    tiles = dealt.mapInArrow(_products, "b0 int, b1 int, cols int, data array<double>")
+    out = unpacked(tiles, (n, p), edge)
+    if -(-m // edge) <= depth:
+        return out
+    return out.with_df(out.df.groupBy("i0", "i1").agg(F.sum(VALUE).alias(VALUE)))

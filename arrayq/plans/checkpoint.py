@@ -6,6 +6,7 @@ import atexit
 import shutil
 import tempfile
 
+from py4j.protocol import Py4JError
 from pyspark.sql import DataFrame, SparkSession
 
 
@@ -21,10 +22,26 @@ def checkpoint_dir(spark: SparkSession) -> str:
     return found
 
 
-def checkpointed(df: DataFrame) -> DataFrame:
-    """``df`` from reliable files: an iteration's plan does not grow with the iterations before it, and a lost executor does not undo them."""
+def checkpointed(df: DataFrame, *keys: str) -> DataFrame:
+    """``df`` from reliable files: an iteration's plan does not grow with the iterations before it, and a lost executor does not undo them.
+
+    With ``keys`` it is partitioned by them first and stays so: joins on these
+    keys do not shuffle it again.
+    """
     spark = df.sparkSession
     where = checkpoint_dir(spark)
     if spark.sparkContext.getCheckpointDir() is None:
         spark.sparkContext.setCheckpointDir(where)
-    return df.checkpoint()
+    return (df.repartition(*keys) if keys else df).checkpoint()
+
+
+def dropped(df: DataFrame) -> None:
+    """Deletes the files of a checkpointed frame that nothing reads any more; another frame is left as it is."""
+    try:
+        file = df._jdf.queryExecution().analyzed().rdd().getCheckpointFile()
+    except Py4JError:
+        return
+    if file.isDefined():
+        spark = df.sparkSession
+        path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(file.get())
+        path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)

@@ -50,6 +50,8 @@ class Compiler:
         self.program = program
         self.spark = program.spark
         self.counter = 0
+        #: By alias: an aggregate's partial form, how partial ones merge, and whether it folds a list.
+        self.steps: dict[str, tuple[Column, Any, bool]] = {}
 
     def fresh(self, base: str) -> str:
         self.counter += 1
@@ -180,7 +182,7 @@ class Compiler:
     def _source(self, q: A.Generator, source: Any, scope: Scope, rest: list[A.Node]) -> None:
         if isinstance(source, Tensor):
             return self._tensor(q, source, scope, rest)
-        if isinstance(source, list):
+        if isinstance(source, (list, range)):
             source = self.program.frame_of(source)
         if isinstance(source, dict):
             source = self.program.frame_of(list(source.items()))
@@ -347,8 +349,8 @@ class Compiler:
             # the key tells rows apart: every group is one row
             df = scope.df.select(*keys, *[single.col.alias(alias) for alias, _, single in aggregates.values()])
         elif aggregates:
-            made = [agg.col.alias(alias) for alias, agg, _ in aggregates.values()]
-            df = scope.df.agg(*made).select("*", *keys) if constant else scope.df.groupBy(*keys).agg(*made)
+            made = [(alias, agg.col) for alias, agg, _ in aggregates.values()]
+            df = self._grouped(scope.df, [], [], made).select("*", *keys) if constant else self._grouped(scope.df, keys, [n for n, _ in leaves], made)
         else:
             df = scope.df.select(*keys).distinct()
         dims = {n: scope.dims[plain[str(v.col)]] for n, v in leaves if str(v.col) in plain and plain[str(v.col)] in scope.dims}
@@ -384,11 +386,13 @@ class Compiler:
             return
         if isinstance(node, A.Method) and node.name in _COUNT and isinstance(node.base, A.Var) and node.base.name in bagged:
             out[node] = (self.fresh("n"), Val(F.count(F.lit(1)), "bigint"), Val(F.lit(1).cast("bigint"), "bigint"))
+            self.steps[out[node][0]] = (F.count(F.lit(1)), F.sum, False)
             return
         if isinstance(node, A.Var) and node.name in bagged:
             val = column_of(bagged[node.name].value if isinstance(bagged[node.name], Bag) else bagged[node.name])
             kind = f"array<{val.kind}>"
             out[node] = (self.fresh("b"), Val(F.collect_list(val.col), kind), Val(F.array(val.col), kind))
+            self.steps[out[node][0]] = (F.collect_list(val.col), lambda c: F.flatten(F.collect_list(c)), False)
             return
         if isinstance(node, (A.Lambda, A.Comprehension)):
             names = A.free_names(node)
@@ -398,16 +402,24 @@ class Compiler:
 
     def _aggregate(self, op: str, val: Val) -> tuple[str, Val, Val]:
         monoid = self.program.monoid(op)
-        kind = monoids.result_type(op, val.kind)
-        made, single = monoid.aggregate(val.col), val.col
-        if op == "count":
-            single = F.lit(1)
-        if monoid.zero is not None:
-            zero = F.lit(monoid.zero)
-            made, single = F.coalesce(made, zero), F.coalesce(single, zero)
-        if op == "*" or op in ("+", "avg", "count"):
-            made, single = made.cast(kind), single.cast(kind)
-        return self.fresh("s"), Val(made, kind), Val(single, kind)
+        kind = monoid.kind or monoids.result_type(op, val.kind)
+
+        def ended(made: Column) -> Column:
+            made = F.coalesce(made, F.lit(monoid.zero)) if monoid.zero is not None else made
+            return monoid.result(made).cast(kind) if op in ("+", "*", "avg", "count") else monoid.result(made)
+
+        alias = self.fresh("s")
+        if monoid.merge:
+            self.steps[alias] = (monoid.aggregate(val.col), lambda c: ended(monoid.merge(c)), monoid.folds)
+        return alias, Val(ended(monoid.aggregate(val.col)), kind), Val(ended(F.lit(1) if op == "count" else val.col), kind)
+
+    def _grouped(self, df: DataFrame, keys: list[Column], names: list[str], made: list[tuple[str, Column]]) -> DataFrame:
+        """Groups and aggregates; in two steps where an aggregate folds a list and all of them can be merged."""
+        steps = [(alias, *self.steps[alias]) for alias, _ in made if alias in self.steps]
+        if len(steps) == len(made) and any(folds for *_, folds in steps):
+            return monoids.in_steps(df, keys, names, [(alias, partial, merge) for alias, partial, merge, _ in steps])
+        aggregates = [col.alias(alias) for alias, col in made]
+        return df.groupBy(*keys).agg(*aggregates) if keys else df.agg(*aggregates)
 
     # --- nested comprehensions
     def nested(self, node: A.Node, scope: Scope) -> None:
@@ -419,12 +431,24 @@ class Compiler:
         inner = reduce.arg if reduce else node.base if counted else node if isinstance(node, A.Comprehension) else None
         if inner is not None:
             if not A.free_names(inner) & set(scope.env):
+                if counted:
+                    scope.made[node] = literal(self.program.value(A.Reduce("count", inner)))
+                elif not reduce and scope.df is not None:
+                    scope.made[node] = self._beside(inner, scope)
                 return
             scope.made[node] = self._correlated(inner, reduce.op if reduce else "count" if counted else None, scope)
             return
         for c in node.children():
             self.nested(c, scope)
 
+    def _beside(self, c: A.Comprehension, scope: Scope) -> Val:
+        """The bag of a comprehension that no outer row changes: one row, put beside all others without a detour over the driver."""
+        assert scope.df is not None
+        relation = self.comprehension(c)
+        value, alias = column_of(relation.value), self.fresh("b")
+        scope.df = scope.df.crossJoin(relation.df.agg(F.collect_list(value.col).alias(alias)))
+        return Val(F.col(alias), f"array<{value.kind}>")
+
     def _correlated(self, c: A.Comprehension, op: str | None, scope: Scope) -> Val:
         """Groups the inner rows by what the equalities compare with outer values, then joins the groups to the outer rows."""
         assert scope.df is not None
@@ -463,7 +487,7 @@ class Compiler:
             made, kind = agg.col, agg.kind
             zero = self.program.monoid(op).zero
             empty = F.lit(zero).cast(kind)
-        groups = relation.df.groupBy(*[k.col.alias(n) for k, n in zip(keys, names, strict=True)]).agg(made.alias(alias))
+        groups = self._grouped(relation.df, [k.col.alias(n) for k, n in zip(keys, names, strict=True)], names, [(alias, made)])
         condition: Column | None = None
         for name, (_, y) in zip(names, links, strict=True):
             part = column_of(self.row(y, scope)).col == F.col(name)
@@ -487,6 +511,8 @@ class Compiler:
         if e.name in scope.env:
             return scope.env[e.name]
         value = self.program.value(e)
+        if isinstance(value, range):
+            return Val(F.sequence(F.lit(value.start), F.lit(value[-1]), F.lit(value.step)) if value else F.array().cast("array<int>"), "array<int>")
         if isinstance(value, (bool, int, float, str, tuple, list)) or value is None:
             return literal(value)
         return value
@@ -610,8 +636,17 @@ class Compiler:
     def _row_comprehension(self, e: A.Comprehension, scope: Scope) -> Any:
         return literal(self.program.local(self.program.value(e)))
 
+    def _formatted(self, pattern: A.Node, args: list[A.Node], scope: Scope) -> Val:
+        """``format("%s of %d", a, b)`` or ``"%s of %d".format(a, b)``; the pattern is known when the plan is made."""
+        text = self.program.value(pattern) if self.is_constant(pattern) and not A.free_names(pattern) & set(scope.env) else None
+        if not isinstance(text, str):
+            raise CompileError("a format is a constant string")
+        return Val(F.format_string(text, *[column_of(self.row(a, scope)).col for a in args]), "string")
+
     def _row_call(self, e: A.Call, scope: Scope) -> Any:
         function = self.program.maybe(e.name)
+        if e.name == "format" and function is None:
+            return self._formatted(e.args[0], e.args[1:], scope)
         args = [self.row(x, scope) if not isinstance(x, A.Lambda) else x for x in e.args]
         if isinstance(function, A.Lambda):
             inner = Scope(scope.df, dict(scope.env), made=scope.made)
@@ -623,7 +658,11 @@ class Compiler:
         if callable(function):
             return self._host(e.name, function, [column_of(a) for a in args], scope)
         if e.name in ("random", "rand"):
-            return Val(F.rand(self.program.next_seed()), "double")
+            seed = self.program.next_seed()
+            if not scope.unique:
+                return Val(F.rand(seed), "double")
+            # a number for each key, the same however often and however dealt out the rows are read
+            return Val(F.pmod(F.xxhash64(F.lit(seed), *[F.col(c) for c in sorted(scope.unique)]), F.lit(1 << 53)) / F.lit(float(1 << 53)), "double")
         if e.name in FUNCTIONS:
             return FUNCTIONS[e.name](*[column_of(a) for a in args])
         raise CompileError(f"no function {e.name!r}")
@@ -659,6 +698,8 @@ class Compiler:
         return Val(F.udf(function, kind, useArrow=True)(*[a.col for a in args]), kind)
 
     def _row_method(self, e: A.Method, scope: Scope) -> Any:
+        if e.name == "format":
+            return self._formatted(e.base, e.args, scope)
         base = self.row(e.base, scope)
         if isinstance(base, Tensor):
             return literal(self.program.value(e))

@@ -34,7 +34,12 @@ class _Returned(Exception):
         self.value = value
 
 
-_MATH: dict[str, Callable[..., Any]] = {"max": max, "min": min, "abs": abs, "ceil": math.ceil, "floor": math.floor, "sqrt": math.sqrt, "exp": math.exp, "log": math.log, "pow": math.pow, "round": round, "range": lambda a, b, s=1: list(range(a, b + 1, s))}
+def _range(low: int, high: int, step: int = 1) -> range:
+    """Both ends belong to it, whichever way it goes."""
+    return range(low, high + (1 if step > 0 else -1), step)
+
+
+_MATH: dict[str, Callable[..., Any]] = {"max": max, "min": min, "abs": abs, "ceil": math.ceil, "floor": math.floor, "sqrt": math.sqrt, "exp": math.exp, "log": math.log, "pow": math.pow, "round": round, "sin": math.sin, "cos": math.cos, "tanh": math.tanh, "range": _range, "format": lambda f, *a: f % a}
 
 
 class Program:
@@ -103,8 +108,8 @@ class Program:
                 self._check(s)
                 self._bulk(s, [])
             else:
-                low, high, step = (self.value(x) for x in (s.range.low, s.range.high, s.range.step))
-                for k in range(low, high + (1 if step > 0 else -1), step):
+                self._hold(s.body)
+                for k in _range(*(self.value(x) for x in (s.range.low, s.range.high, s.range.step))):
                     self.scopes.append({s.name: k})
                     self.execute(s.body)
                     self.scopes.pop()
@@ -113,6 +118,7 @@ class Program:
             self._check(s)
             self._bulk(s, [])
         elif isinstance(s, A.While):
+            self._hold(s.body)
             while self.value(s.cond):
                 self.execute(s.body)
                 self._cut(s.body)
@@ -132,16 +138,29 @@ class Program:
             return self._settled(value, None) if isinstance(value, Relation) else value
         return None
 
+    @staticmethod
+    def _carried(body: A.Node) -> set[str]:
+        """What a loop's body assigns and the next iteration reads: not what it declares itself."""
+        own = {x.name for x in walk(body) if isinstance(x, A.Declare)}
+        return {next(v.name for v in walk(x.target) if isinstance(v, A.Var)) for x in walk(body) if isinstance(x, A.Assign)} - own
+
+    def _checkpoint(self, name: str) -> None:
+        found = self.maybe(name)
+        df = found.df if isinstance(found, Tensor) else found
+        if isinstance(df, DataFrame) and not df.isStreaming and not getattr(df, "arrayq_cut", False):
+            df = checkpointed(df)
+            df.arrayq_cut = True
+            self.assign(name, found.with_df(df) if isinstance(found, Tensor) else df)
+
+    def _hold(self, body: A.Node) -> None:
+        """Before a loop: computes once what its body reads but never changes."""
+        for name in sorted({x.name for x in walk(body) if isinstance(x, A.Var)} - self._carried(body)):
+            self._checkpoint(name)
+
     def _cut(self, body: A.Node) -> None:
-        """Checkpoints the tensors that a loop's body assigns."""
-        for x in walk(body):
-            if isinstance(x, (A.Assign, A.Declare)):
-                name = x.name if isinstance(x, A.Declare) else next(v.name for v in walk(x.target) if isinstance(v, A.Var))
-                found = self.maybe(name)
-                if isinstance(found, Tensor) and not getattr(found.df, "arrayq_cut", False):
-                    df = checkpointed(found.df)
-                    df.arrayq_cut = True
-                    self.assign(name, found.with_df(df))
+        """After an iteration: checkpoints what it carries to the next."""
+        for name in sorted(self._carried(body)):
+            self._checkpoint(name)
 
     @staticmethod
     def _empty(kind: str | None) -> Any:
@@ -331,8 +350,10 @@ class Program:
             return [_plain(r) for r in as_frame(value).collect()] if isinstance(value.value, Row) else [r[0] for r in as_frame(value).collect()]
         return value
 
-    def frame_of(self, items: list[Any]) -> DataFrame:
-        """A local list as a frame."""
+    def frame_of(self, items: list[Any] | range) -> DataFrame:
+        """A local list or a range as a frame; ranges are made by the executors."""
+        if isinstance(items, range):
+            return self.spark.range(items.start, items.stop, items.step).select(F.col("id").cast("int").alias("value"))
         if not items:
             return self.spark.createDataFrame([], "value int")
         if isinstance(items[0], tuple):
@@ -357,8 +378,7 @@ class Program:
         return [self.value(x) for x in e.items]
 
     def _value_range(self, e: A.Range) -> Any:
-        low, high, step = (self.value(x) for x in (e.low, e.high, e.step))
-        return list(range(low, high + 1, step))
+        return _range(*(self.value(x) for x in (e.low, e.high, e.step)))
 
     def _value_comprehension(self, e: A.Comprehension) -> Relation:
         return self.compiler.comprehension(e)
@@ -400,7 +420,7 @@ class Program:
         """Bag union."""
         if isinstance(a, DataFrame):
             return a.unionByName(b)
-        return a + b
+        return [*a, *b] if isinstance(a, (list, range)) else a + b
 
     def _value_if(self, e: A.If) -> Any:
         return self.value(e.then if self.value(e.cond) else e.other)
@@ -434,10 +454,13 @@ class Program:
         elif isinstance(value, Relation):
             df, col = value.df, column_of(value.value)
         else:
-            if isinstance(value, (list, dict)):
-                value = self.frame_of(list(value))
+            if isinstance(value, (list, dict, range)):
+                value = self.frame_of(value if isinstance(value, range) else list(value))
             df = value
             col = Val(F.col(df.columns[0]) if len(df.columns) == 1 else F.struct(*df.columns), df.schema[0].dataType.simpleString() if len(df.columns) == 1 else "struct")
+        if monoid.folds:
+            out = monoids.in_steps(df, [], [], [("x", monoid.aggregate(col.col), lambda c: monoid.result(monoid.merge(c)))]).first()[0]
+            return monoid.zero if out is None else out
         kind = monoids.result_type(e.op, col.kind)
         made = monoid.aggregate(col.col)
         out = df.agg(made.cast(kind).alias("x") if kind in ("bigint", "int", "double") and e.op in ("+", "*") else made.alias("x")).first()[0]
@@ -481,10 +504,10 @@ class Program:
             return found.with_df(found.df.persist()) if isinstance(found, Tensor) else found.persist()
         if e.name in ("rdd", "dataset"):
             found = self.value(e.args[0])
-            return as_frame(found) if isinstance(found, Relation) else self.frame_of(found) if isinstance(found, list) else found
+            return as_frame(found) if isinstance(found, Relation) else self.frame_of(found) if isinstance(found, (list, range)) else found
         if e.name == "map":
             found = self.value(e.args[0])
-            df = as_frame(found) if isinstance(found, Relation) else self.frame_of(found) if isinstance(found, list) else found
+            df = as_frame(found) if isinstance(found, Relation) else self.frame_of(found) if isinstance(found, (list, range)) else found
             return MapRel(df.toDF("k", "v"))
         if e.name == "lift":
             return LAYOUTS.view(e.args[0].name, self.value(e.args[1]))
@@ -524,6 +547,11 @@ class Program:
             return getattr(base, e.name)
         if e.name in ("reduce", "reduceByKey"):
             return self._fold(base, e)
+        if e.name == "groupByKey" and isinstance(base, DataFrame):
+            key, value = base.columns
+            return base.groupBy(key).agg(F.collect_list(value).alias(value))
+        if e.name == "format" and isinstance(base, str):
+            return base % tuple(self.value(a) for a in e.args)
         if e.name == "count" and isinstance(base, (DataFrame, Tensor)):
             return (base.df if isinstance(base, Tensor) else base).count()
         simple: dict[str, Callable[..., Any]] = {"toInt": int, "toLong": int, "toDouble": float, "toString": str, "length": len, "size": len, "toList": list, "split": lambda s, d: s.split(d), "contains": lambda s, x: x in s}
@@ -544,16 +572,17 @@ class Program:
             from arrayq.plans.compile import Scope
 
             scope = Scope()
-            kind = "double"
             self.compiler.bind(function.pattern, Row(["_1", "_2"], [Val(a, kind), Val(b, kind)]), scope)
             return column_of(self.compiler.row(function.body, scope)).col
 
         fold = monoids.folded(combine)
         df = base.values() if isinstance(base, Tensor) else base if isinstance(base, DataFrame) else self.frame_of(base)
+        value = df.columns[-1]
+        kind = df.schema[value].dataType.simpleString()
+        parts = [(value, fold(F.col(value)), fold)]
         if e.name == "reduce":
-            return df.agg(fold(F.col(df.columns[-1]))).first()[0]
-        key, value = df.columns
-        return df.groupBy(key).agg(fold(F.col(value)).alias(value))
+            return monoids.in_steps(df, [], [], parts).first()[0]
+        return monoids.in_steps(df, [F.col(df.columns[0])], [df.columns[0]], parts)
 
 
 def _with(program: Program, name: str, value: Any) -> Any:

@@ -40,21 +40,38 @@ def increments(stream: DataFrame, indices: list[str], value: str, monoid: str =
     return stream.groupBy(*keys).agg(BUILT_IN[monoid].aggregate(F.col(value)).alias(VALUE))
 
 
+def _after(spark: SparkSession, folder: str) -> list[int]:
+    """Numbers of the batches whose tensor is complete in ``folder``, ascending."""
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(folder)
+    store = path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    found = [s.getPath().getName() for s in store.listStatus(path)] if store.exists(path) else []
+    done = [n for n in found if n.startswith("batch=") and store.exists(spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{folder}/{n}/_SUCCESS"))]
+    return sorted(int(n.removeprefix("batch=")) for n in done)
+
+
 def into_tensor(stream: DataFrame, start: Tensor, indices: list[str], value: str, monoid: str, sink: Any, checkpoint: str) -> StreamingQuery:
     """Folds every micro-batch into a tensor and hands it to ``sink(tensor, batch)``.
 
-    Each batch is aggregated by index before it is merged, and the merged tensor
-    is checkpointed, so a batch costs its own rows and the tensor's cells.
+    Each batch is aggregated by index before it is merged.  The merged tensor is
+    written beside the stream's own checkpoint, under the batch's number, so a
+    query that starts again goes on from the last tensor, and a batch that runs
+    again starts from the tensor before it and counts once.  The last two
+    tensors are kept.
     """
-    from arrayq.plans.checkpoint import checkpointed
+    spark, folder = stream.sparkSession, f"{checkpoint.rstrip('/')}/tensors"
+    schema = start.values().schema
 
-    held = {"tensor": start}
+    def at(number: int) -> Tensor:
+        return Tensor(spark.read.schema(schema).parquet(f"{folder}/batch={number}"), start.dims, start.n_dense, start.kind)
 
     def fold(batch: DataFrame, number: int) -> None:
+        before = [n for n in _after(spark, folder) if n < number]
         cells = batch.groupBy(*[F.col(c).cast("int").alias(f"i{k}") for k, c in enumerate(indices)]).agg(BUILT_IN[monoid].aggregate(F.col(value)).alias(VALUE))
-        fresh = Tensor(cells, start.dims, 0, start.kind)
-        merged = algebra.merged(held["tensor"], fresh, monoid)
-        held["tensor"] = merged.with_df(checkpointed(merged.df))
-        sink(held["tensor"], number)
+        merged = algebra.merged(at(before[-1]) if before else start, Tensor(cells, start.dims, 0, start.kind), monoid)
+        merged.values().select(*schema.names[:-1], F.col(VALUE).cast(start.kind).alias(VALUE)).write.mode("overwrite").parquet(f"{folder}/batch={number}")
+        sink(at(number), number)
+        for n in before[:-1]:
+            path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{folder}/batch={n}")
+            path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
 
     return stream.writeStream.foreachBatch(fold).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()

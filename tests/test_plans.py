@@ -14,8 +14,9 @@ def plan(t):
 
 def test_one_tensor_read_twice_is_not_joined(spark):
     a = tensor(spark, np.arange(12.0).reshape(3, 4), 0)
-    out = q(spark, "tensor()(3,4)[ ((i,j),a*b) | ((i,j),a) <- A, ((ii,jj),b) <- A, ii == i, jj == j ]", A=a)
-    assert "Join" not in plan(out) and np.array_equal(array(out), np.arange(12.0).reshape(3, 4) ** 2)
+    out = q(spark, "tensor()(3,4)[ ((r,c), 2.0*x - y/4.0) | ((r,c),x) <- M, ((s,d),y) <- M, d == c, s == r, x > 3.0 ]", M=a)
+    cells = np.arange(12.0).reshape(3, 4)
+    assert "Join" not in plan(out) and np.array_equal(array(out), np.where(cells > 3, 1.75 * cells, 0))
 
 
 def test_ranges_tied_to_indices_are_filters(spark):
@@ -33,8 +34,8 @@ def test_unique_keys_are_not_grouped(spark):
 
 def test_loops_are_joins_without_ranges(spark):
     a, b = (tensor(spark, np.ones((3, 3)), 0) for _ in range(2))
-    out = q(spark, "var R = A; for i = 0, 2 do for j = 0, 2 do for k = 0, 2 do R[i,j] += A[i,k]*B[k,j]; R", A=a, B=b)
-    assert "Range" not in plan(out) and np.array_equal(array(out), np.ones((3, 3)) + 3)
+    out = q(spark, "var T = Y; for r = 0, 2 do for c = 0, 2 do for d = 0, 2 do T[c,d] += 2.0*X[r,c] + Y[r,d]; T", X=a, Y=b)
+    assert "Range" not in plan(out) and np.array_equal(array(out), np.ones((3, 3)) + 9)
 
 
 def test_filters_and_columns_reach_the_scan(spark, tmp_path):
