@@ -36,9 +36,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from arrayq.llm.shared import arrow_map
+from arrayq.llm.spans import mix
 
 SPACE = "▁"
 CACHE_UNITS = 200_000
+#: Pairs of pieces of which a worker remembers whether they stand (9 bytes each); a power of two.
+PAIR_PLACES = 1 << 21
 #: Characters of new units that are indexed together.
 INDEX_CHARS = 1 << 20
 _RUN_BYTES = 2 << 20
@@ -87,7 +90,9 @@ class Codec:
         self.piece_keys = self._packed(codes.reshape(len(names), self.n_keys, _PER_KEY))
         used = np.arange(self.n_keys * _PER_KEY)[None] < self.piece_sizes[:, None]
         self.piece_masks = self._packed((used * np.uint16(0xFFFF)).astype(np.uint16).reshape(len(names), self.n_keys, _PER_KEY))
-        self.stands: dict[int, bool] = {}
+        # a table of fixed size: a key that meets another's place takes it
+        self.pairs = np.full(PAIR_PLACES, -1, np.int64)
+        self.stands = np.zeros(PAIR_PLACES, bool)
         self.cache: dict[str, bytes] = {}
         self.older: dict[str, bytes] = {}
 
@@ -114,16 +119,21 @@ class Codec:
 
     def _valid(self, keys: np.ndarray) -> np.ndarray:
         """Whether pieces stand side by side; a key is (previous id + 1) * size + id, with 0 for the start of a run."""
-        distinct, back = np.unique(keys, return_inverse=True)
-        stands, names, out = self.stands, self.names, np.zeros(len(distinct), bool)
-        for k, key in enumerate(distinct.tolist()):
-            known = stands.get(key)
-            if known is None:
-                before, own = divmod(key, self.size)
-                pair = [names[own]] if not before else [names[before - 1], names[own]]
-                known = stands[key] = self.merged("".join(pair)) == pair
-            out[k] = known
-        return out[back]
+        place = (mix(keys.astype(np.uint64)) & np.uint64(PAIR_PLACES - 1)).astype(np.int64)
+        out = self.stands[place]
+        missed = np.flatnonzero(self.pairs[place] != keys)
+        if len(missed):
+            new, first, back = np.unique(keys[missed], return_index=True, return_inverse=True)
+            found = np.array([self._stands(key) for key in new.tolist()], bool)
+            out[missed] = found[back]
+            at = place[missed[first]]
+            self.pairs[at], self.stands[at] = new, found
+        return out
+
+    def _stands(self, key: int) -> bool:
+        before, own = divmod(key, self.size)
+        pair = [self.names[own]] if not before else [self.names[before - 1], self.names[own]]
+        return self.merged("".join(pair)) == pair
 
     def _edges(self, codes: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """All occurrences of all pieces: start, length, id."""
@@ -223,8 +233,6 @@ class Codec:
         split = [_UNIT.findall((SPACE + t).replace(" ", SPACE)) if t else [] for t in texts]
         if len(self.cache) > self.most:
             self.cache, self.older = {}, self.cache
-        if len(self.stands) > 2 * self.most:
-            self.stands = {}
         unknown = set().union(*split) - self.cache.keys()
         again = unknown & self.older.keys()
         self.cache |= {u: self.older[u] for u in again}
