@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 from typing import Any
 
@@ -12,6 +13,8 @@ from arrayq import workloads
 from arrayq.data import Data
 from arrayq.functions.monoids import user
 from arrayq.operators import algebra, block, layouts
+from arrayq.plans.checkpoint import checkpoint_dir
+from arrayq.sources.text import text_file
 from arrayq.tensor import Tensor
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -532,7 +535,12 @@ def relu_layer(d: Data) -> DataFrame:
     return flat(d.run("[ ((i,j), max(0.0, z)) | ((i,j),z) <- Z ]", Z=d.embeddings @ w), "i", "j", "v").withColumn("v", F.round("v", 5))
 
 
-@query("")
+@query(
+    f"WITH {_U}, {_X}, W1 AS (SELECT a j, b k, (a + b + 1) / 20.0 v FROM range(5) x(a), range(3) y(b)), W2 AS (SELECT b k, (b + 1) / 10.0 v FROM range(3) y(b)), "
+    "Z AS (SELECT X.i, W1.k, sum(X.v * W1.v) v FROM X JOIN W1 USING (j) GROUP BY 1, 2), E AS (SELECT Z.i, sum(greatest(0, Z.v) * W2.v) - 1 v FROM Z JOIN W2 USING (k) GROUP BY 1), "
+    "DZ AS (SELECT Z.i, Z.k, CASE WHEN Z.v > 0 THEN E.v * W2.v ELSE 0 END v FROM Z JOIN E USING (i) JOIN W2 USING (k)), DW AS (SELECT X.j, DZ.k, sum(X.v * DZ.v) v FROM X JOIN DZ USING (i) GROUP BY 1, 2) "
+    "SELECT CAST(W1.j AS INT) AS i, CAST(W1.k AS INT) AS j, round(W1.v - 0.0001 * DW.v, 6) AS v FROM W1 JOIN DW USING (j, k)"
+)
 def network_step(d: Data) -> DataFrame:
     x, y = d.activity * 0.01, d.run("tensor(n,1)[ ((i,j), 1.0) | i <- 0..n-1, j <- 0..0 ]", n=d.activity.dims[0])
     w1 = d.run("tensor(5,3)[ ((i,j), (i+j+1)/20.0) | i <- 0..4, j <- 0..2 ]")
@@ -571,6 +579,74 @@ def user_layout(d: Data) -> DataFrame:
     return flat(d.run(text, N=d.table("nation", "n_nationkey", "n_regionkey")), "i", "v")
 
 
+@query("SELECT n_nationkey AS k, 'nation ' || n_name || ' of region ' || n_regionkey AS v FROM nation")
+def format_strings(d: Data) -> DataFrame:
+    return flat(d.run('dataset[ (k, "nation %s of region %d".format(n, r)) | (k, n, r) <- N ]', N=d.table("nation", "n_nationkey", "n_name", "n_regionkey")), "k", "v")
+
+
+@query("SELECT CAST(i AS INT) AS i, CAST(3 * i AS BIGINT) AS v FROM (SELECT unnest([9, 7, 5, 3, 1]) AS i)")
+def range_falling(d: Data) -> DataFrame:
+    return flat(d.run("var R = range(9, 1, -2); dataset[ (i, 3*i) | i <- R ]"), "i", "v")
+
+
+@query("SELECT n_nationkey AS k, x AS m FROM nation CROSS JOIN (SELECT unnest([2, 3, 5]) AS x) WHERE n_nationkey % x = 0")
+def list_source(d: Data) -> DataFrame:
+    return flat(d.run("var P = [2, 3, 5]; dataset[ (k, p) | k <- N, p <- P, k % p == 0 ]", N=d.table("nation", "n_nationkey")), "k", "m")
+
+
+@query("SELECT r_regionkey AS k, (SELECT CAST(count(*) AS BIGINT) FROM nation WHERE n_nationkey > 20) + r_regionkey AS v FROM region")
+def uncorrelated_bag(d: Data) -> DataFrame:
+    out = d.run("dataset[ (r, bag) | r <- R, let bag = [ n | n <- N, n > 20 ] ]", R=d.table("region", "r_regionkey"), N=d.table("nation", "n_nationkey"))
+    held = flat(out, "k", "bag")
+    return held.select("k", (F.size("bag").cast("bigint") + F.col("k")).alias("v"))
+
+
+@query("SELECT l_returnflag AS k, round(sqrt(sum(l_quantity * l_quantity)), 4) AS v FROM lineitem GROUP BY 1")
+def finished_monoid(d: Data) -> DataFrame:
+    """A user aggregate with partial aggregation and a last step, over groups of a third of all rows."""
+    norm = user("norm", lambda a, b: a + b, finish=lambda s: F.round(F.sqrt(s), 4), kind="double")
+    return flat(d.run("dataset[ (f, norm/x) | (f, q) <- L, let x = q*q, group by f ]", L=d.table("lineitem", "l_returnflag", "l_quantity"), monoids={"norm": norm}), "k", "v")
+
+
+@query("SELECT CAST(max(o_orderkey) AS BIGINT) AS v FROM orders")
+def reduce_method(d: Data) -> DataFrame:
+    value = d.run("O.reduce((a, b) => if (a > b) a else b)", O=d.table("orders", "o_orderkey"))
+    return d.spark.createDataFrame([(value,)], "v bigint")
+
+
+@query("SELECT n_regionkey AS k, CAST(count(*) AS INT) AS v FROM nation GROUP BY 1")
+def group_by_key(d: Data) -> DataFrame:
+    return flat(d.run("N.groupByKey()", N=d.table("nation", "n_regionkey", "n_nationkey")), "k", "v").withColumn("v", F.size("v"))
+
+
+@query(f"WITH {_U} SELECT CAST(sum(v) AS BIGINT) AS v FROM U")
+def total_of_tensor(d: Data) -> DataFrame:
+    return d.spark.createDataFrame([(int(d.run("+/U", U=d.activity)),)], "v bigint")
+
+
+@query(f"WITH {_N} SELECT i, true AS v FROM N")
+def random_unit(d: Data) -> DataFrame:
+    """Random numbers belong to their keys: read twice, they are the same."""
+    text = "var R = [ (i, random()) | (i,v) <- V ]; dataset[ (i, a == b && a >= 0.0 && a < 1.0) | (i,a) <- R, (j,b) <- S, j == i ]"
+    first = d.run("[ (i, random()) | (i,v) <- V ]", V=d.per_nation)
+    return flat(d.run(text, V=d.per_nation, S=first.with_df(first.df.repartition(7))), "i", "v")
+
+
+@query(f"WITH {_E} SELECT x.j AS i, y.j AS j, round(sum(x.v * y.v), 4) AS v FROM E x JOIN E y ON x.i = y.i GROUP BY 1, 2")
+def block_summa(d: Data) -> DataFrame:
+    """A tall matrix against itself: one result tile, its work dealt out along the shared dimension."""
+    e = d.embeddings
+    return flat(block.matmul(e.t, e, 64, 2), "i", "j", "v").withColumn("v", F.round("v", 4))
+
+
+@query("SELECT k, CAST(count(*) AS BIGINT) AS n FROM (SELECT unnest(string_split(n_name, '_')) AS k FROM nation) GROUP BY 1")
+def text_lines(d: Data) -> DataFrame:
+    """Lines of a text file, split into fields."""
+    path = f"{checkpoint_dir(d.spark)}/lines-{uuid.uuid4().hex}"
+    d.table("nation", "n_name").write.text(path)
+    return flat(d.run('dataset[ (w, t.length) | (k, t) <- lines, w <- t.split("_"), group by w ]', lines=text_file(d.spark, path)), "k", "n").withColumn("n", F.col("n").cast("bigint"))
+
+
 @query("SELECT n_name AS n FROM nation UNION ALL SELECT r_name FROM region")
 def bag_union(d: Data) -> DataFrame:
     return flat(d.run("A ++ B", A=d.table("nation", "n_name").toDF("n"), B=d.table("region", "r_name").toDF("n")), "n")
