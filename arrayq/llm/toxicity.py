@@ -8,8 +8,8 @@ carry labels, and the loss on the bag's score trains the sentence model.
 Scored sentences then tell where a document offends.
 
 Training takes at most ``MAX_TOXIC`` labelled toxic and ``MAX_CLEAN`` labelled
-clean documents, chosen by a hash; the bounds are parameters, and weights
-restore the true shares.  Scoring covers whole texts.
+clean documents, and ``MAX_BYTES`` bytes of either, chosen by a hash; the bounds
+are parameters, and weights restore the true shares.  Scoring covers whole texts.
 
 Defined results: null and empty texts have no sentences and score the prior of
 an empty bag (0.0); without labelled rows of both kinds every score is 0.0;
@@ -26,14 +26,17 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
-from arrayq.llm.shared import arrow_map
+from arrayq.llm.shared import arrow_map, discard, materialise
 from arrayq.llm.spans import Texts, slices
 
 BUCKETS = 1 << 20
 PREFIXES = (4, 5, 6, 7, 8, 9)
 MAX_TOXIC = 1500
 MAX_CLEAN = 3000
+#: Bytes of text of either kind that are trained on at most, besides the last document's own.
+MAX_BYTES = 16 << 20
 MIN_DOCS = 5
 MIN_Z = 6.0
 STEPS = 150
@@ -150,16 +153,21 @@ def train(texts: list[str], labels: np.ndarray, weights: np.ndarray, steps: int
     return Model(out, float(w[-1]))
 
 
-def fit(docs: DataFrame, labels: DataFrame, max_toxic: int = MAX_TOXIC, max_clean: int = MAX_CLEAN) -> Model | None:
-    """Trains on labelled documents that are not held out; null where one of the two kinds is missing."""
+def fit(docs: DataFrame, labels: DataFrame, max_toxic: int = MAX_TOXIC, max_clean: int = MAX_CLEAN, max_bytes: int = MAX_BYTES) -> Model | None:
+    """Trains on labelled documents that are not held out, of each kind at most ``max_bytes``; null where one of the two kinds is missing."""
     marks = labels.where(F.col("toxic").isNotNull() & ~held_out(F.col("doc_id"))).select("doc_id", F.col("toxic").cast("int").alias("y"))
     totals = {y: n for y, n in marks.groupBy("y").agg(F.count(F.lit(1))).collect()}
     if not totals.get(0) or not totals.get(1):
         return None
     key = F.xxhash64("doc_id", F.lit(5))
     wanted = marks.where("y = 1").orderBy(key, "doc_id").limit(max_toxic).unionByName(marks.where("y = 0").orderBy(key, "doc_id").limit(max_clean))
-    # at most max_toxic + max_clean ids: a proven bound
-    rows = docs.select("doc_id", F.col("text").cast("string").alias("text")).join(F.broadcast(wanted), "doc_id").orderBy("doc_id", "y", "text").collect()
+    # at most max_toxic + max_clean ids: a proven bound; of rows that repeat an id the least text counts
+    found = docs.select("doc_id", F.col("text").cast("string").alias("text")).join(F.broadcast(wanted), "doc_id").groupBy("doc_id", "y").agg(F.coalesce(F.min("text"), F.lit("")).alias("text"))
+    found = materialise(found, "toxicity-sample")
+    before = F.coalesce(F.sum("size").over(Window.partitionBy("y").orderBy("key", "doc_id").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    taken = found.select("doc_id", "y", key.alias("key"), F.octet_length("text").alias("size")).withColumn("before", before).where(F.col("before") <= max_bytes)
+    rows = found.join(F.broadcast(taken.select("doc_id", "y")), ["doc_id", "y"], "left_semi").orderBy("doc_id", "y").collect()
+    discard(found)
     if len({r.y for r in rows}) < 2:
         return None
     y = np.array([r.y for r in rows])
