@@ -41,35 +41,40 @@ MAX_READ = 8 << 20
 ARCHIVE_BYTES = 1 << 30
 _DATE = "2024-01-01T00:00:00Z"
 _EOL = b"\r\n"
+_ESCAPED = "X-Target-URI-Escaped"
+#: Revisits that may be broadcast (about 20 MB).
+BROADCAST_REVISITS = 200_000
 INDEX_SCHEMA = "record_id long, file string, offset long, length long, url string, digest string"
 RECORD_SCHEMA = "record_id long, url string, record_type string, refers_to long, payload_bytes long, payload_digest string, payload binary"
 
 
-def _record_uri(record_id: int) -> str:
-    return f"urn:record:{record_id}"
+def _record_uri(record_id: int | None) -> str:
+    return f"urn:record:{'none' if record_id is None else record_id}"
 
 
-def build_record(record_id: int, url: str | None, payload: bytes, digest: str, refers_to: int | None) -> bytes:
+def build_record(record_id: int | None, url: str | None, payload: bytes, digest: str, refers_to: int | None) -> bytes:
     """One WARC/1.1 record as a gzip member; a revisit (``refers_to`` given) keeps no payload."""
     body = b"" if refers_to is not None else payload
     fields = [
         ("WARC-Type", "response" if refers_to is None else "revisit"),
         ("WARC-Record-ID", f"<{_record_uri(record_id)}>"),
         ("WARC-Date", _DATE),
-        ("WARC-Target-URI", url if url is not None else "about:blank"),
+        ("WARC-Target-URI", _one_line(url) if url is not None else "about:blank"),
         ("WARC-Payload-Digest", f"sha1:{digest}"),
         ("X-Payload-Length", str(len(payload))),
     ]
+    if url is not None and _one_line(url) != url:
+        fields.append((_ESCAPED, "1"))
     if refers_to is not None:
         fields += [("WARC-Refers-To", f"<{_record_uri(refers_to)}>"), ("WARC-Profile", "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest")]
     fields += [("Content-Type", "text/html; charset=utf-8"), ("Content-Length", str(len(body)))]
-    head = b"WARC/1.1" + _EOL + b"".join(f"{k}: {_one_line(v)}".encode() + _EOL for k, v in fields) + _EOL
+    head = b"WARC/1.1" + _EOL + b"".join(f"{k}: {v}".encode() + _EOL for k, v in fields) + _EOL
     packer = zlib.compressobj(1, zlib.DEFLATED, 31)
     return packer.compress(head + body + _EOL + _EOL) + packer.flush()
 
 
 def _one_line(value: str) -> str:
-    """Header values may not hold line ends; those are percent-encoded."""
+    """Header values may not hold line ends; those are percent-encoded, with a field that says so."""
     return value.replace("%", "%25").replace("\r", "%0D").replace("\n", "%0A") if "\r" in value or "\n" in value else value
 
 
@@ -81,8 +86,14 @@ class Record:
     payload: bytes
 
     @property
-    def record_id(self) -> int:
-        return int(self.fields["warc-record-id"].strip("<>").rpartition(":")[2])
+    def record_id(self) -> int | None:
+        found = self.fields["warc-record-id"].strip("<>").rpartition(":")[2]
+        return None if found == "none" else int(found)
+
+    @property
+    def url(self) -> str:
+        value = self.fields["warc-target-uri"]
+        return value.replace("%0A", "\n").replace("%0D", "\r").replace("%25", "%") if _ESCAPED.lower() in self.fields else value
 
     @property
     def refers_to(self) -> int | None:
@@ -134,7 +145,9 @@ def write_warc(rows: DataFrame, path: str | None = None, min_bytes: int = MIN_RE
     rows = rows.select(F.col("id").cast("long").alias("id"), F.col("url").cast("string").alias("url"), _payload(F.col("payload")).alias("payload"))
     rows = rows.withColumn("digest", F.sha1("payload"))
     again = materialise(revisits(rows, min_bytes), "warc-revisits")
-    joined = rows.join(again, ["id", "digest"], "left")
+    # payloads are shuffled only where the list of revisits is too long to be sent to all tasks
+    few = again.count() <= BROADCAST_REVISITS
+    joined = rows.join(F.broadcast(again) if few else again, ["id", "digest"], "left")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         store, folder = _open_store(path)
@@ -154,7 +167,7 @@ def write_warc(rows: DataFrame, path: str | None = None, min_bytes: int = MIN_RE
                 if out is None:
                     name, at = f"{uuid.uuid4().hex}.warc.gz", 0
                     out = store.open_output_stream(f"{folder}/{name}.part", compression=None)
-                member = build_record(record_id if record_id is not None else -1, url, payload, digest, refers)
+                member = build_record(record_id, url, payload, digest, refers)
                 out.write(member)
                 rows_made.append((record_id, f"{path}/{name}", at, len(member), url, digest))
                 at += len(member)
@@ -218,7 +231,7 @@ def read_warc(index: DataFrame, payloads: bool = True) -> DataFrame:
                         if found != stated:
                             raise ValueError(f"payload of record {record.record_id} does not have its digest")
                         size = int(record.fields["x-payload-length"]) if refers is not None else len(record.payload)
-                        rows.append((record.record_id if record.record_id >= 0 else None, record.fields["warc-target-uri"], record.fields["warc-type"], refers, size, found, record.payload if payloads else None))
+                        rows.append((record.record_id, record.url, record.fields["warc-type"], refers, size, found, record.payload if payloads else None))
                     yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), kinds, strict=True)], names)
                 i = j
         if handle is not None:
