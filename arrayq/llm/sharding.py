@@ -1,20 +1,23 @@
 """Sharding by a two-pass external shuffle (DataFrame operations only).
 
 Pass one scatters the rows uniformly into buckets with a seeded hash of their
-key, as many as keep a bucket near ``bucket_bytes``.  Pass two takes one bucket
+key and content, as many as keep a bucket near ``bucket_bytes``.  Pass two takes one bucket
 at a time, in key order, and shuffles it in memory (Spark's ``shuffle`` is a
 seeded Fisher-Yates).  Bucket after bucket makes one random order of all rows;
 the row at place ``p`` goes to shard ``p mod n_shards``, slot ``p div
 n_shards``, so shards differ by one row at most and slots have no gaps.
 
-The order depends on the seed, the keys and the number of buckets alone: every
+The order depends on the seed, the rows and the number of buckets alone, and
+that number on their bytes, not on the cluster: every
 bucket lies in a known partition and is sorted before it is shuffled, so a task
 that runs again after a lost executor writes the same rows.
 
 Defined results: null text has size 1 and the CRC of the empty string; rows
 with equal text are dealt out like any others; repeated rows stay as many as
-they are; buckets are sized by the measured bytes of whole rows; an empty table gives an empty table; extra columns are carried by
-:func:`external_shuffle` whatever their names.
+they are, and only rows that are equal in everything must share a bucket;
+buckets are sized by the measured bytes of whole rows; an empty table gives an
+empty table; extra columns are carried in a struct, so their names may be
+``shard`` or ``slot``.
 """
 
 from __future__ import annotations
@@ -28,7 +31,7 @@ from arrayq.llm.shared import new_path
 
 SHARDS = 8
 SEED = 20240611
-BUCKET_BYTES = 32 << 20
+BUCKET_BYTES = 16 << 20
 #: Buckets whose sizes one task adds up when their starts are worked out.
 _BLOCK = 1024
 
@@ -67,9 +70,9 @@ def external_shuffle(rows: DataFrame, key: list[str], n_shards: int = SHARDS, se
     """
     if n_buckets is None:
         n_buckets = max(1, -(-measured_bytes(rows) // bucket_bytes))
-        # a bucket is one task's work, so there are never fewer than the tasks that can run
-        n_buckets = max(n_buckets, rows.sparkSession.sparkContext.defaultParallelism * 2)
-    bucket = F.pmod(F.xxhash64(F.lit(seed), *key), F.lit(n_buckets))
+    # content counts too: null or equal keys must not pile up in one bucket
+    content = [F.col(f"`{f.name}`") for f in rows.schema.fields if "map<" not in f.dataType.simpleString()]
+    bucket = F.pmod(F.xxhash64(F.lit(seed), *content), F.lit(n_buckets))
     sizes = rows.select(bucket.alias("_bucket")).groupBy("_bucket").agg(F.count(F.lit(1)).alias("_n"))
     packed = rows.select(bucket.alias("_bucket"), F.struct(F.struct(*[F.col(f"`{k}`") for k in key]).alias("k"), F.struct(*[F.col(f"`{c}`") for c in rows.columns]).alias("row")).alias("_r"))
     # an explicit number of partitions: adaptive execution leaves it alone, so a bucket's partition is known
@@ -83,24 +86,21 @@ def external_shuffle(rows: DataFrame, key: list[str], n_shards: int = SHARDS, se
 
 
 def write_shards(rows: DataFrame, key: list[str], path: str, n_shards: int = SHARDS, seed: int = SEED) -> None:
-    """Writes the shuffled rows as ``path/shard=k/*.parquet``, each file in slot order."""
-    dealt = external_shuffle(rows, key, n_shards, seed)
-    dealt.select("row.*", F.col("shard").alias("shard"), F.col("slot").alias("slot")).sortWithinPartitions("shard", "slot").write.partitionBy("shard").parquet(path)
+    """Writes the shuffled rows as ``path/shard=k/*.parquet``: each as struct ``row`` with its ``slot``, in slot order."""
+    external_shuffle(rows, key, n_shards, seed).sortWithinPartitions("shard", "slot").write.partitionBy("shard").parquet(path)
 
 
 def shard_documents(docs: DataFrame, n_shards: int = SHARDS, seed: int = SEED) -> DataFrame:
     """doc_id, size, text_crc32, law, shard, slot, grown_shard for each document, as read back from the shards.
 
-    The shards hold whole documents, as struct ``doc`` since a document may have
-    a ``shard`` of its own; ``written_at`` of the result is their folder.
+    The shards hold whole documents; ``written_at`` of the result is their folder.
     """
     spark = docs.sparkSession
-    whole = docs.select("doc_id", F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("doc"))
     path = new_path(spark, "shards")
-    write_shards(whole, ["doc_id"], path, n_shards, seed)
-    shards = spark.read.schema(T.StructType([*whole.schema.fields, T.StructField("slot", T.LongType()), T.StructField("shard", T.IntegerType())])).parquet(path)
-    text = F.coalesce(F.col("doc.text"), F.lit("")).cast("string")
+    write_shards(docs, ["doc_id"], path, n_shards, seed)
+    shards = spark.read.schema(T.StructType([T.StructField("row", docs.schema), T.StructField("slot", T.LongType()), T.StructField("shard", T.IntegerType())])).parquet(path)
+    text = F.coalesce(F.col("row.text"), F.lit("")).cast("string")
     size, crc = (F.octet_length(text) + 1).cast("long"), F.crc32(text.cast("binary"))
-    out = shards.select("doc_id", size.alias("size"), crc.alias("text_crc32"), F.lit("rows").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
+    out = shards.select(F.col("row.doc_id").alias("doc_id"), size.alias("size"), crc.alias("text_crc32"), F.lit("rows").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
     out.written_at = path
     return out
