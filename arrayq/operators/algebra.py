@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from arrayq.functions.monoids import BUILT_IN
 from arrayq.functions.scalars import Val, arithmetic, wider
-from arrayq.tensor import VALUE, Tensor, index_names, zero_of
+from arrayq.tensor import VALUE, Tensor, index_names, index_type, zero_of
 
 
 def _combined(op: str, a: Val, b: Val) -> Val:
@@ -98,7 +98,7 @@ def sliced(a: Tensor, items: tuple[Any, ...]) -> Tensor:
         if isinstance(item, slice):
             low, high, step = _bounds(item, a.dims[k])
             cells = cells.where(at.between(low, high) & ((at - low) % step == 0))
-            kept.append(F.expr(f"cast((i{k} - {low}) div {step} as int)").alias(f"i{len(dims)}"))
+            kept.append(F.expr(f"cast((i{k} - {low}) div {step} as {index_type(a.dims[k])})").alias(f"i{len(dims)}"))
             dims.append(max(0, (high - low) // step + 1))
             dense += k < a.n_dense
         else:
@@ -109,7 +109,7 @@ def sliced(a: Tensor, items: tuple[Any, ...]) -> Tensor:
 
 def shifted(a: Tensor, offsets: tuple[int, ...], wrap: bool = True) -> Tensor:
     """Every cell moved by ``offsets``; around the ends, or dropped there."""
-    moved = [(F.pmod(F.col(f"i{k}") + o, F.lit(d)) if wrap else F.col(f"i{k}") + o).cast("int").alias(f"i{k}") for k, (o, d) in enumerate(zip(offsets, a.dims, strict=True))]
+    moved = [(F.pmod(F.col(f"i{k}") + o, F.lit(d)) if wrap else F.col(f"i{k}") + o).cast(index_type(d)).alias(f"i{k}") for k, (o, d) in enumerate(zip(offsets, a.dims, strict=True))]
     out = Tensor(a.values().select(*moved, VALUE), a.dims, a.n_dense, a.kind)
     return out.stored(a.n_dense, held_sparse=not wrap)
 

@@ -20,7 +20,7 @@ from arrayq.functions.scalars import FUNCTIONS, TYPES, Val, arithmetic, compare,
 from arrayq.lang import ast as A
 from arrayq.plans import rewrite
 from arrayq.plans.values import Bag, CompileError, MapRel, Relation, Row, column_of, from_column, literal, tuple_of, unpacked
-from arrayq.tensor import VALUE, Tensor, zero_of
+from arrayq.tensor import VALUE, Tensor, index_type, zero_of
 
 if TYPE_CHECKING:
     from arrayq.plans.program import Program
@@ -203,13 +203,13 @@ class Compiler:
     def _tensor(self, q: A.Generator, t: Tensor, scope: Scope, rest: list[A.Node]) -> None:
         names = [self.fresh("i") for _ in t.indices]
         own = self.fresh("v")
-        index = [Val(F.col(n), "int") for n in names]
+        index = [Val(F.col(n), index_type(d)) for n, d in zip(names, t.dims, strict=True)]
         value = tuple_of([index[0] if t.rank == 1 else tuple_of(index), unpacked(Val(F.col(own), t.kind))])
         # two generators over one tensor with equal indices are one: its index is a key
         if not q.full:
             for other, columns, other_value in scope.tensors:
                 if other is t and self._same_index(q.pattern, value, names, columns, scope, rest):
-                    same = [Val(F.col(n), "int") for n in columns]
+                    same = [Val(F.col(n), index_type(d)) for n, d in zip(columns, t.dims, strict=True)]
                     self.bind(q.pattern, tuple_of([same[0] if t.rank == 1 else tuple_of(same), unpacked(Val(F.col(other_value), t.kind))]), scope)
                     return
         cells = (t.full() if q.full else t.values()).select(*[F.col(a).alias(b) for a, b in zip([*t.indices, VALUE], [*names, own], strict=True)])
@@ -737,7 +737,7 @@ def as_tensor(r: Relation, dims: tuple[int, ...] | None, n_dense: int | None) ->
     if len(parts) != len(dims):
         raise CompileError(f"indices of {len(parts)} parts do not fit {len(dims)} dimensions")
     own = column_of(value.items[1])
-    cells = r.df.select(*[p.col.cast("int").alias(f"i{k}") for k, p in enumerate(parts)], own.col.alias(VALUE))
+    cells = r.df.select(*[p.col.cast(index_type(d)).alias(f"i{k}") for k, (p, d) in enumerate(zip(parts, dims, strict=True))], own.col.alias(VALUE))
     if r.complete and (n_dense is None or n_dense == len(dims)):
         columns = {str(F.col(c)): c for c in r.dims}
         used = [columns.get(str(p.col)) for p in parts]

@@ -26,7 +26,7 @@ from arrayq.operators.layouts import LAYOUTS
 from arrayq.plans.checkpoint import checkpointed
 from arrayq.plans.compile import Compiler, as_frame, as_tensor, walk
 from arrayq.plans.values import CompileError, MapRel, Relation, Row, column_of, literal, unpacked
-from arrayq.tensor import VALUE, Tensor, zero_of
+from arrayq.tensor import VALUE, Tensor, index_type, zero_of
 
 
 class _Returned(Exception):
@@ -45,8 +45,8 @@ _MATH: dict[str, Callable[..., Any]] = {"max": max, "min": min, "abs": abs, "cei
 class Program:
     """Runs programs over one set of bindings."""
 
-    def __init__(self, spark: SparkSession, bindings: dict[str, Any] | None = None, user_monoids: dict[str, Monoid] | None = None, returns: dict[str, str] | None = None, scalar_functions: set[str] | None = None, seed: int = 42, layout: str = "coo") -> None:
-        self.spark, self.seed, self.layout = spark, seed, layout
+    def __init__(self, spark: SparkSession, bindings: dict[str, Any] | None = None, user_monoids: dict[str, Monoid] | None = None, returns: dict[str, str] | None = None, scalar_functions: set[str] | None = None, seed: int = 42, layout: str = "coo", edge: int | None = None) -> None:
+        self.spark, self.seed, self.layout, self.edge = spark, seed, layout, edge
         self.scopes: list[dict[str, Any]] = [dict(bindings or {})]
         self.user_monoids = dict(user_monoids or {})
         self.returns, self.scalar_functions = dict(returns or {}), set(scalar_functions or ())
@@ -238,7 +238,7 @@ class Program:
         index, value = unpacked(made.value).items
         index = unpacked(index)
         parts = [column_of(x) for x in (index.items if isinstance(index, Row) else [index])]
-        cells = made.df.select(*[p.col.cast("int").alias(f"i{k}") for k, p in enumerate(parts)], column_of(value).col.alias(VALUE))
+        cells = made.df.select(*[p.col.cast(index_type(d)).alias(f"i{k}") for k, (p, d) in enumerate(zip(parts, old.dims, strict=True))], column_of(value).col.alias(VALUE))
         for k, d in enumerate(old.dims):
             cells = cells.where(F.col(f"i{k}").between(0, d - 1))
         return cells
@@ -398,9 +398,9 @@ class Program:
         a, b = (self._settled(x, None) if isinstance(x, Relation) else x for x in (a, b))
         if e.op == "@":
             if self.layout == "block" and a.is_dense and b.is_dense and b.rank == 2:
-                from arrayq.operators.block import matmul
+                from arrayq.operators.block import EDGE, matmul
 
-                return matmul(a, b)
+                return matmul(a, b, self.edge or EDGE)
             return a @ b
         if e.op == "/" and isinstance(a, int) and isinstance(b, int):
             return int(a / b)

@@ -22,6 +22,11 @@ def index_names(rank: int) -> list[str]:
     return [f"i{k}" for k in range(rank)]
 
 
+def index_type(dim: int) -> str:
+    """The type of an index below ``dim``."""
+    return "int" if dim < 1 << 31 else "bigint"
+
+
 def zero_of(kind: str) -> Any:
     """The value that stands for an absent cell."""
     if kind == "boolean":
@@ -39,7 +44,7 @@ def index_space(spark: SparkSession, dims: tuple[int, ...]) -> DataFrame:
     columns, step = [], total
     for k, d in enumerate(dims):
         step //= max(d, 1)
-        columns.append(F.expr(f"cast((id div {max(step, 1)}) % {max(d, 1)} as int)").alias(f"i{k}"))
+        columns.append(F.expr(f"cast((id div {max(step, 1)}) % {max(d, 1)} as {index_type(d)})").alias(f"i{k}"))
     return spark.range(total).select(*columns)
 
 
@@ -55,7 +60,7 @@ class Tensor:
     def of(df: DataFrame, dims: tuple[int, ...], n_dense: int | None = None, indices: list[str] | None = None, value: str | None = VALUE) -> Tensor:
         """A tensor from rows that already have unique indices in range; stored as its layout asks for."""
         names = indices or index_names(len(dims))
-        kept = [F.col(c).cast("int").alias(f"i{k}") for k, c in enumerate(names)]
+        kept = [F.col(c).cast(index_type(d)).alias(f"i{k}") for k, (c, d) in enumerate(zip(names, dims, strict=True))]
         if value is None or value not in df.columns:
             shaped, kind = df.select(*kept, F.lit(True).alias(VALUE)), "boolean"
         else:

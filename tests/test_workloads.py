@@ -77,6 +77,21 @@ def test_user_monoids_fold_in_steps_and_finish(spark):
         user("none", lambda a, b: a, finish=lambda c: c)
 
 
+def test_indices_beyond_32_bits(spark):
+    far = 5_000_000_000
+    cells = spark.createDataFrame([(far, 2, 1.5), (7, 0, 2.0)], "i0 long, i1 int, v double")
+    t = Tensor.of(cells, (far + 1, 3), 0)
+    assert sorted(map(tuple, t.t.df.collect())) == [(0, 7, 2.0), (2, far, 1.5)]
+    assert [tuple(r) for r in q(spark, "tensor()(3)[ (j, +/x) | ((i,j),x) <- T, i > 100, group by j ]", T=t).df.collect()] == [(2, 1.5)]
+    moved = q(spark, "tensor()(n)[ (i - 1, x) | ((i,j),x) <- T, j > 0 ]", T=t, n=far)
+    assert [tuple(r) for r in moved.df.collect()] == [(far - 1, 1.5)]
+
+
+def test_layout_and_edge_are_parameters(spark):
+    a, b = RNG.random((5, 6)), RNG.random((6, 4))
+    assert np.allclose(array(q(spark, "A @ B", layout="block", edge=2, A=tensor(spark, a), B=tensor(spark, b))), a @ b)
+
+
 def test_formats_ranges_and_bags(spark):
     assert q(spark, 'format("%s-%d", "a", 3)') == "a-3" and q(spark, '"%.1f".format(2.0)') == "2.0"
     assert list(q(spark, "range(5, 1, -2)")) == [5, 3, 1] and q(spark, "+/range(1, 4)") == 10
