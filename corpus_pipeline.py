@@ -1,9 +1,16 @@
 """From raw documents to packed training sequences, in five stages.
 
 Each stage takes ``(spark, docs, sf_dir)`` and works on all that its predecessor
-kept, the first removes boilerplate lines from the texts; ``docs`` has the columns of ``documents``.  All but the last return those
-columns; the last returns the places of the packed pieces.  Stages are written
-as Parquet between each other.
+kept; the first also removes boilerplate lines from the texts.  ``docs`` has the
+columns of ``documents``.  All but the last return those columns; the last
+returns the places of the packed pieces.  Stages are written as Parquet between
+each other.
+
+Defined results: documents with null or empty texts fail the first stage, those
+without a recognised language the second; of equal texts the row with the least
+id stays, null ids last; of near-duplicates the least id, rows with a null id
+stay; extra columns are kept up to the last stage, which has its own; an empty
+table gives an empty table.
 """
 
 from __future__ import annotations
