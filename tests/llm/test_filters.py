@@ -2,6 +2,8 @@ import random
 import re
 from collections import Counter, defaultdict
 
+import duckdb
+import pandas as pd
 import pytest
 
 import corpus_pipeline
@@ -161,60 +163,67 @@ def brute_verdicts(urls):
 
     def kind(s):
         stem = re.sub(r"\.[A-Za-z]{1,5}$", "", s)
-        return "" if not s else "{n}" if re.fullmatch("[0-9]+", stem) else "{h}" if re.fullmatch("[0-9a-fA-F-]{8,}", stem) else "{x}" if re.search("[0-9]", stem) else stem
+        return "{n}" if re.fullmatch("[0-9]+", stem) else "{h}" if re.fullmatch("[0-9a-fA-F-]{8,}", stem) else "{x}" if re.search("[0-9]", stem) else stem or s
 
     rows = []
     for u in urls:
         host, path = split(u)
         parts = [s for s in path.split("/") if s]
         r = rule(host, path)
-        rows.append((host, tuple(kind(parts[i]) if i < len(parts) else "" for i in range(3)), len(parts) > 3, None if r is None else r[0] == "block"))
-    marks = [r[3] for r in rows if r[3] is not None]
+        rows.append((host, [kind(x) for x in parts], None if r is None else r[0] == "block"))
+    marks = [r[2] for r in rows if r[2] is not None]
     prior = (sum(marks) + 1) / (len(marks) + 2)
-    made = [list(r[1]) for r in rows]
-    for level in range(3):
-        kids = defaultdict(set)
-        for r, t in zip(rows, made, strict=True):
-            if r[1][level] and not r[1][level].startswith("{"):
-                kids[r[0], *t[:level]].add(r[1][level])
-        for r, t in zip(rows, made, strict=True):
-            if r[1][level] and not r[1][level].startswith("{") and len(kids[r[0], *t[:level]]) > url_filter.MAX_CHILDREN:
-                t[level] = "*"
-    stats = defaultdict(lambda: [set(), 0, 0])
-    for r, t in zip(rows, made, strict=True):
-        s = stats[r[0], t[0]]
-        s[0].add(t[1])
-        s[1] += r[3] is not None
-        s[2] += bool(r[3])
-    shapes = defaultdict(list)
-    for (host, t0), (seconds, m, b) in stats.items():
-        shapes[host, tuple(sorted(seconds))].append((b / m if m else 0.0, t0, m, b))
-    branch = {}
-    for (host, _), members in shapes.items():
-        number, last = 0, None
-        for p, t0, m, b in sorted(members):
-            if last is None:
-                number += 1
-            elif m and last[2]:
-                pooled = (b + last[3]) / (m + last[2])
-                if (p - last[0]) ** 2 > url_filter.MERGE_Z2 * pooled * (1 - pooled) * (1 / m + 1 / last[2]):
-                    number += 1
-            branch[host, t0] = number
-            last = (p, t0, m, b)
-    totals = defaultdict(lambda: [0, 0, 0])
-    keys = []
-    for r, t in zip(rows, made, strict=True):
-        key = (r[0], tuple(sorted(stats[r[0], t[0]][0])), branch[r[0], t[0]], t[1], t[2], r[2])
-        keys.append(key)
-        totals[key][0] += 1
-        totals[key][1] += r[3] is not None
-        totals[key][2] += bool(r[3])
-    out = []
-    for r, key in zip(rows, keys, strict=True):
-        n, m, b = totals[key]
-        bad = m >= url_filter.MIN_LABELLED and 100 * m >= n * url_filter.MIN_LABELLED_PERCENT and (b + url_filter.SMOOTHING * prior) / (m + url_filter.SMOOTHING) >= url_filter.MIN_PURITY
-        out.append("block" if r[3] or (r[3] is None and bad) else "allow")
-    return out
+    bad = set()
+
+    def labels(group):
+        known = [rows[i][2] for i in group if rows[i][2] is not None]
+        return len(known), sum(known)
+
+    def judged(m, n):
+        return m >= url_filter.MIN_LABELLED and 100 * m >= n * url_filter.MIN_LABELLED_PERCENT
+
+    def children(group, depth):
+        """Rows by what follows their first ``depth`` classes; words among too many are one wildcard."""
+        at = lambda i: rows[i][1][depth] if depth < len(rows[i][1]) else ""
+        fixed = ("", "{n}", "{h}", "{x}")
+        wide = len({at(i) for i in group} - set(fixed)) > url_filter.MAX_CHILDREN
+        found = defaultdict(list)
+        for i in group:
+            found["*" if wide and at(i) not in fixed else at(i)].append(i)
+        return found
+
+    def grow(below, depth):
+        """Judges the template that ends here and follows what goes on, alike branches together."""
+        ends = below.pop("", [])
+        m, b = labels(ends)
+        if ends and judged(m, len(ends)) and (b + url_filter.SMOOTHING * prior) / (m + url_filter.SMOOTHING) >= url_filter.MIN_PURITY:
+            bad.update(ends)
+        alike = defaultdict(list)
+        for t, group in below.items():
+            m, b = labels(group)
+            nxt = children(group, depth + 1)
+            if judged(m, len(group)):
+                alike[tuple(sorted(nxt))].append((b / m, t, m, b, nxt))
+            elif m >= url_filter.MIN_LABELLED:
+                grow(nxt, depth + 1)
+        for members in alike.values():
+            pools, last = [], None
+            for p, _, m, b, nxt in sorted(members, key=lambda x: x[:2]):
+                pooled = 0 if last is None else (b + last[2]) / (m + last[1])
+                if last is None or (p - last[0]) ** 2 > url_filter.MERGE_Z2 * pooled * (1 - pooled) * (1 / m + 1 / last[1]):
+                    pools.append(defaultdict(list))
+                for u, group in nxt.items():
+                    pools[-1][u] += group
+                last = (p, m, b)
+            for pool in pools:
+                grow(pool, depth + 1)
+
+    hosts = defaultdict(list)
+    for i, r in enumerate(rows):
+        hosts[r[0]].append(i)
+    for group in hosts.values():
+        grow(children(group, 0), 0)
+    return ["block" if r[2] or (r[2] is None and i in bad) else "allow" for i, r in enumerate(rows)]
 
 
 def test_url_templates_against_brute_force(spark):
@@ -225,9 +234,21 @@ def test_url_templates_against_brute_force(spark):
             urls += [f"https://{host}/{lang}/{rng.randint(0, 999)}{rng.choice(['', '.html', '/', '?a=b'])}" for _ in range(n)]
         urls += [f"https://{host}/{lang}/{rng.choice(['news', 'shop'])}/{rng.getrandbits(40):010x}" for lang in ("en", "fr") for _ in range(10)]
         urls += [f"https://{host}/tag-{k}x/p{k}" for k in range(5)] + [f"https://{host}/{w}/y" for w in ("".join(rng.choice("abcdef") for _ in range(6)) for _ in range(50))]
+        # paths that differ late only, alike branches below the first level, and paths that share a template but no rule
+        for first, n in (("en", 24), ("en.html", 4)):
+            for tail, number in (("good", 7), ("bad", 8)):
+                urls += [f"https://{host}/{first}/{number}{k}/a/b/c/{tail}/{w}/.x/{rng.randint(0, 9)}" for k in range(n) for w in ("p", "q")]
+        urls += [f"https://{host}/en/{'y/' * 12}{k}" for k in range(8)] + [f"https://{host}/{{n}}/*/{'y/' * 40}{k}" for k in range(8)]
     pages = spark.createDataFrame(list(enumerate(urls)), "page_id long, url string")
     got = [r.verdict for r in url_filter.judge_urls(pages).orderBy("page_id").collect()]
     assert got == brute_verdicts(urls)
+    late = {u.split("/")[8]: v for u, v in zip(urls, got, strict=True) if "x.example.com/en.html/" in u}
+    assert late == {"good": "allow", "bad": "block"}, "a segment far down the path decides"
+    shown = pd.DataFrame({"page_id": range(len(urls)), "url": urls})
+    sql = dict(duckdb.connect().register("pages", shown).execute(f"SELECT page_id, verdict FROM ({url_filter.ORACLE_SQL})").fetchall())
+    for i, u in enumerate(urls):
+        if len([x for x in u.split("?")[0].split("/")[3:] if x]) <= url_filter.SQL_LEVELS:
+            assert sql[i] == got[i], u
     ruled = {r.page_id for r in url_filter.judge_urls(pages).where("rule is null and verdict = 'block'").collect()}
     assert ruled, "templates decide some urls that rules do not"
 
