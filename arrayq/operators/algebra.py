@@ -12,7 +12,7 @@ from arrayq.functions.scalars import Val, arithmetic, wider
 from arrayq.tensor import VALUE, Tensor, index_names, index_type, zero_of
 
 
-def _combined(op: str, a: Val, b: Val) -> Val:
+def combined(op: str, a: Val, b: Val) -> Val:
     if op in ("&&", "||"):
         return Val(a.col & b.col if op == "&&" else a.col | b.col, "boolean")
     return arithmetic(op, a, b)
@@ -27,7 +27,7 @@ def cellwise(op: str, a: Tensor, b: Tensor, how: str = "inner") -> Tensor:
     left, right = F.col("_a"), F.col("_b")
     if how == "full":
         left, right = (F.coalesce(c, F.lit(zero_of(t.kind)).cast(t.kind)) for c, t in ((left, a), (right, b)))
-    made = _combined(op, Val(left, a.kind), Val(right, b.kind))
+    made = combined(op, Val(left, a.kind), Val(right, b.kind))
     dims = tuple(max(x, y) for x, y in zip(a.dims, b.dims, strict=True)) if how == "full" else tuple(min(x, y) for x, y in zip(a.dims, b.dims, strict=True))
     both_dense = a.is_dense and b.is_dense
     out = Tensor(joined.select(*names, made.col.alias(VALUE)), dims, a.rank if both_dense else min(a.n_dense, b.n_dense), made.kind)
@@ -38,7 +38,7 @@ def scalar(op: str, a: Tensor, number: Any, flipped: bool = False) -> Tensor:
     """Stored cells combined with a number."""
     kind = {bool: "boolean", int: "int", float: "double"}[type(number)]
     own, other = Val(F.col(VALUE), a.kind), Val(F.lit(number), kind)
-    made = _combined(op, other, own) if flipped else _combined(op, own, other)
+    made = combined(op, other, own) if flipped else combined(op, own, other)
     out = Tensor(a.values().select(*a.indices, made.col.alias(VALUE)), a.dims, a.n_dense, made.kind)
     return out if a.is_dense else out.stored(a.n_dense)
 
@@ -55,7 +55,7 @@ def contract(a: Tensor, b: Tensor, axis_a: int, axis_b: int, plus: str = "+", ti
     """Sums of products over one shared index; columns i0.. (a's left indices, then b's) and v."""
     left = a.named(*[f"a{k}" for k in range(a.rank)], "_a")
     right = b.named(*[f"b{k}" for k in range(b.rank)], "_b")
-    made = _combined(times, Val(F.col("_a"), a.kind), Val(F.col("_b"), b.kind)) if times in ("+", "-", "*", "/", "&&", "||") else Val(BUILT_IN[times].combine(F.col("_a"), F.col("_b")), wider(a.kind, b.kind))
+    made = combined(times, Val(F.col("_a"), a.kind), Val(F.col("_b"), b.kind)) if times in ("+", "-", "*", "/", "&&", "||") else Val(BUILT_IN[times].combine(F.col("_a"), F.col("_b")), wider(a.kind, b.kind))
     keys = [f"a{k}" for k in range(a.rank) if k != axis_a] + [f"b{k}" for k in range(b.rank) if k != axis_b]
     joined = left.join(right, F.col(f"a{axis_a}") == F.col(f"b{axis_b}"))
     summed = joined.groupBy(*keys).agg(BUILT_IN[plus].aggregate(made.col).alias(VALUE))

@@ -1,32 +1,79 @@
-"""Dense contraction on blocks: Arrow batches of square tiles, multiplied in NumPy.
+"""Dense vectors and matrices as square tiles.
 
-Worth it for dense operands only; sparse ones stay in coordinates.
+``tensor*(..) e`` stores them.  A generator, a reduction or a group-by reads the
+cells out of a tile where it lies, so what it aggregates is combined tile by
+tile before anything is shuffled; arithmetic on equal tilings zips tiles, and
+products go through Arrow batches of tiles in NumPy.  Worth it for dense
+operands only; sparse ones stay in coordinates.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
+from dataclasses import dataclass
+from typing import Any
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from arrayq.tensor import VALUE, Tensor
+from arrayq.functions.scalars import Val
+from arrayq.operators.algebra import combined
+from arrayq.tensor import VALUE, Tensor, index_type
 
 EDGE = 256
 #: Tiles along the shared dimension that one task multiplies for a result tile.
 DEPTH = 64
 
 
+@dataclass(frozen=True)
+class Blocks(Tensor):
+    """A dense vector or matrix held as tiles (see :func:`packed`); ``df`` reads its cells out of them."""
+
+    tiles: DataFrame
+    edge: int
+
+    def with_df(self, df: DataFrame) -> Tensor:
+        return Tensor(df, self.dims, self.n_dense, self.kind)
+
+    def persisted(self) -> Blocks:
+        return of_tiles(self.tiles.persist(), self.dims, self.kind, self.edge)
+
+    def _op(self, name: str, other: Any, flipped: bool = False) -> Tensor:
+        own = lambda x: Val(x, self.kind)
+        if isinstance(other, Blocks) and (other.dims, other.edge) == (self.dims, self.edge):
+            joined = self.tiles.join(other.tiles.select("b0", "b1", F.col("data").alias("_other")), ["b0", "b1"])
+            made = lambda x, y: combined(name, own(x), Val(y, other.kind))
+            kind = made(F.lit(None), F.lit(None)).kind
+            return of_tiles(joined.withColumn("data", F.zip_with("data", "_other", lambda x, y: made(x, y).col)).drop("_other"), self.dims, kind, self.edge)
+        if isinstance(other, (bool, int, float)):
+            number = Val(F.lit(other), {bool: "boolean", int: "int", float: "double"}[type(other)])
+            one = lambda x: combined(name, number, own(x)) if flipped else combined(name, own(x), number)
+            return of_tiles(self.tiles.withColumn("data", F.transform("data", lambda x: one(x).col)), self.dims, one(F.lit(None)).kind, self.edge)
+        return super()._op(name, other, flipped)
+
+    def __matmul__(self, other: Tensor) -> Tensor:
+        return matmul(self, other, self.edge) if multiplied(self, other) else super().__matmul__(other)
+
+    @property
+    def t(self) -> Tensor:
+        if self.rank != 2:
+            return super().t
+        turned = F.expr("transform(sequence(0, rows * cols - 1), p -> data[cast((p % rows) * cols + p div rows as int)])")
+        swapped = self.tiles.select(F.col("b1").alias("b0"), F.col("b0").alias("b1"), F.col("cols").alias("rows"), F.col("rows").alias("cols"), turned.alias("data"))
+        return of_tiles(swapped, self.dims[::-1], self.kind, self.edge)
+
+
 def packed(t: Tensor, edge: int = EDGE) -> DataFrame:
-    """(b0, b1, rows, cols, data): tiles in row-major order; those at the ends are smaller."""
-    if t.rank != 2 or not t.is_dense:
-        raise ValueError("blocks hold dense matrices")
-    n, m = t.dims
-    tiled = t.df.select(
-        F.expr(f"cast(i0 div {edge} as int)").alias("b0"), F.expr(f"cast(i1 div {edge} as int)").alias("b1"),
-        F.struct((F.col("i0") % edge).alias("r"), (F.col("i1") % edge).alias("c"), F.col(VALUE).cast("double").alias("x")).alias("cell"),
+    """(b0, b1, rows, cols, data): tiles in row-major order; those at the ends are smaller.  A vector is one column."""
+    if t.rank not in (1, 2) or not t.is_dense:
+        raise ValueError("blocks hold dense vectors and matrices")
+    n, m = t.dims if t.rank == 2 else (*t.dims, 1)
+    column = F.col("i1") if t.rank == 2 else F.lit(0)
+    tiled = t.values().select(
+        F.expr(f"cast(i0 div {edge} as int)").alias("b0"), F.floor(column / edge).cast("int").alias("b1"),
+        F.struct((F.col("i0") % edge).alias("r"), (column % edge).alias("c"), F.col(VALUE).alias("x")).alias("cell"),
     )
     # a group is one tile: edge * edge cells at most
     held = tiled.groupBy("b0", "b1").agg(F.array_sort(F.collect_list("cell")).alias("cells"))
@@ -34,11 +81,27 @@ def packed(t: Tensor, edge: int = EDGE) -> DataFrame:
     return held.select("b0", "b1", size("b0", n).alias("rows"), size("b1", m).alias("cols"), F.transform("cells", lambda e: e["x"]).alias("data"))
 
 
-def unpacked(blocks: DataFrame, dims: tuple[int, int], edge: int = EDGE) -> Tensor:
-    """The tensor of tiles."""
-    cells = blocks.select("b0", "b1", "cols", F.posexplode("data").alias("p", VALUE))
-    out = cells.select((F.col("b0") * edge + F.expr("p div cols")).cast("int").alias("i0"), (F.col("b1") * edge + F.col("p") % F.col("cols")).cast("int").alias("i1"), VALUE)
-    return Tensor(out, dims, 2, "double")
+def of_tiles(tiles: DataFrame, dims: tuple[int, ...], kind: str, edge: int = EDGE) -> Blocks:
+    """The tensor that tiles hold."""
+    cells = tiles.select("b0", "b1", "cols", F.posexplode("data").alias("p", VALUE))
+    index = [F.expr(f"cast(b0 * {edge} + p div cols as {index_type(dims[0])})").alias("i0")]
+    if len(dims) == 2:
+        index.append(F.expr(f"cast(b1 * {edge} + p % cols as {index_type(dims[1])})").alias("i1"))
+    return Blocks(cells.select(*index, VALUE), tuple(dims), len(dims), kind, tiles, edge)
+
+
+def blocked(t: Tensor, edge: int = EDGE) -> Blocks:
+    """A dense tensor's cells as tiles."""
+    return t if isinstance(t, Blocks) and t.edge == edge else of_tiles(packed(t, edge), t.dims, t.kind, edge)
+
+
+def multiplied(a: Tensor, b: Tensor) -> bool:
+    """Whether two tensors are multiplied on tiles: dense matrices of floating-point numbers."""
+    return all(x.is_dense and x.rank == 2 and x.kind in ("double", "float") for x in (a, b))
+
+
+def _floats(t: Tensor, edge: int) -> DataFrame:
+    return blocked(t, edge).tiles.withColumn("data", F.col("data").cast("array<double>"))
 
 
 def _products(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -80,12 +143,12 @@ def matmul(a: Tensor, b: Tensor, edge: int = EDGE, depth: int = DEPTH) -> Tensor
         raise ValueError(f"{a.dims} and {b.dims} do not fit")
     down, across = -(-n // edge), -(-p // edge)
     every = lambda count: F.explode(F.sequence(F.lit(0), F.lit(count - 1)))
-    left = packed(a, edge).withColumnRenamed("b1", "k").withColumn("side", F.lit(0)).withColumn("b1", every(across))
-    right = packed(b, edge).withColumnRenamed("b0", "k").withColumn("side", F.lit(1)).withColumn("b0", every(down))
+    left = _floats(a, edge).withColumnRenamed("b1", "k").withColumn("side", F.lit(0)).withColumn("b1", every(across))
+    right = _floats(b, edge).withColumnRenamed("b0", "k").withColumn("side", F.lit(1)).withColumn("b0", every(down))
     both = left.unionByName(right).select("b0", "b1", F.expr(f"cast(k div {depth} as int)").alias("part"), "k", "side", "rows", "cols", "data")
     dealt = both.repartition("b0", "b1", "part").sortWithinPartitions("b0", "b1", "part", "k", "side")
     tiles = dealt.mapInArrow(_products, "b0 int, b1 int, cols int, data array<double>")
-    out = unpacked(tiles, (n, p), edge)
+    out = of_tiles(tiles.withColumn("rows", F.expr("cast(size(data) div cols as int)")), (n, p), "double", edge)
     if -(-m // edge) <= depth:
         return out
     return out.with_df(out.df.groupBy("i0", "i1").agg(F.sum(VALUE).alias(VALUE)))

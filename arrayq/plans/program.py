@@ -22,6 +22,8 @@ from arrayq.functions.scalars import TYPES, Val
 from arrayq.lang import ast as A
 from arrayq.lang.parser import parse
 from arrayq.operators import algebra
+from arrayq.operators.block import EDGE, Blocks, blocked, multiplied
+from arrayq.operators.block import matmul as block_matmul
 from arrayq.operators.layouts import LAYOUTS
 from arrayq.plans.checkpoint import checkpointed
 from arrayq.plans.compile import Compiler, as_frame, as_tensor, walk
@@ -397,11 +399,9 @@ class Program:
         a, b = self.value(e.left), self.value(e.right)
         a, b = (self._settled(x, None) if isinstance(x, Relation) else x for x in (a, b))
         if e.op == "@":
-            if self.layout == "block" and a.is_dense and b.is_dense and b.rank == 2:
-                from arrayq.operators.block import EDGE, matmul
-
-                return matmul(a, b, self.edge or EDGE)
-            return a @ b
+            if isinstance(a, Blocks) or not (self.layout == "block" or isinstance(b, Blocks)) or not multiplied(a, b):
+                return a @ b
+            return block_matmul(a, b, b.edge if isinstance(b, Blocks) else self.edge or EDGE)
         if e.op == "/" and isinstance(a, int) and isinstance(b, int):
             return int(a / b)
         if e.op == "%" and isinstance(a, int) and isinstance(b, int):
@@ -481,6 +481,12 @@ class Program:
         return base[keys[0] if len(keys) == 1 else tuple(keys)]
 
     def _value_store(self, e: A.Store) -> Tensor:
+        made = self._stored(e)
+        # a starred dense vector or matrix is held as tiles
+        tiled = e.star and not e.sparse and made.rank in (1, 2) and not made.kind.startswith("map")
+        return blocked(made, self.edge or EDGE) if tiled else made
+
+    def _stored(self, e: A.Store) -> Tensor:
         dims = tuple(int(self.value(x)) for x in [*e.dense, *e.sparse])
         value = self.value(e.arg)
         if isinstance(value, Tensor):
@@ -501,7 +507,7 @@ class Program:
         if e.name == "cache":
             found = self.value(e.args[0])
             found = self._settled(found, None) if isinstance(found, Relation) else found
-            return found.with_df(found.df.persist()) if isinstance(found, Tensor) else found.persist()
+            return found.persisted() if isinstance(found, Tensor) else found.persist()
         if e.name in ("rdd", "dataset"):
             found = self.value(e.args[0])
             return as_frame(found) if isinstance(found, Relation) else self.frame_of(found) if isinstance(found, (list, range)) else found

@@ -401,7 +401,7 @@ def gram_embeddings_block(d: Data) -> DataFrame:
 
 @query(f"WITH {_E} SELECT i, j, round(v, 5) AS v FROM E")
 def block_layout(d: Data) -> DataFrame:
-    return flat(block.unpacked(block.packed(d.embeddings, 100), d.embeddings.dims, 100), "i", "j", "v").withColumn("v", F.round("v", 5))
+    return flat(block.blocked(d.embeddings, 100), "i", "j", "v").withColumn("v", F.round("v", 5))
 
 
 @query(f"WITH {_A}, {_B} SELECT coalesce(A.i, B.i) AS i, coalesce(A.j, B.j) AS j, CASE WHEN A.v IS NULL THEN B.v WHEN B.v IS NULL THEN A.v ELSE greatest(A.v, B.v) END AS v FROM A FULL JOIN B ON A.i = B.i AND A.j = B.j")
@@ -639,6 +639,35 @@ def block_summa(d: Data) -> DataFrame:
     return flat(block.matmul(e.t, e, 64, 2), "i", "j", "v").withColumn("v", F.round("v", 4))
 
 
+@query(f"WITH {_E} SELECT i, j, round(2 * v - v * v, 4) AS v FROM E")
+def block_store(d: Data) -> DataFrame:
+    """A starred store holds tiles; arithmetic on equal tilings stays on them."""
+    text = "var T = tensor*(n, 64) [ ((r,c), x) | ((r,c),x) <- E ]; 2*T - T*T"
+    return flat(d.run(text, E=d.embeddings, n=d.embeddings.rows, edge=48), "i", "j", "v").withColumn("v", F.round("v", 4))
+
+
+@query(f"WITH {_E} SELECT j AS i, round(max(v), 5) AS top, round(sum(v * v), 4) AS energy FROM E WHERE v > 0 GROUP BY 1")
+def block_group(d: Data) -> DataFrame:
+    """A group-by over tiles: each is folded where it lies, then what tiles of a column yield is merged."""
+    text = "dataset[ (c, max/x, +/y) | ((r,c),x) <- tensor*(n, 64) E, x > 0.0, let y = x*x, group by c ]"
+    found = flat(d.run(text, E=d.embeddings, n=d.embeddings.rows, edge=48), "i", "top", "energy")
+    return found.withColumn("top", F.round("top", 5)).withColumn("energy", F.round("energy", 4))
+
+
+@query(f"WITH {_E} SELECT x.j AS i, y.j AS j, round(sum(x.v * y.v), 4) AS v FROM E x JOIN E y ON x.i = y.i GROUP BY 1, 2")
+def block_product(d: Data) -> DataFrame:
+    """A product of tiled matrices, one of them transposed tile by tile."""
+    text = "var T = tensor*(n, 64) E; T.t @ T"
+    return flat(d.run(text, E=d.embeddings, n=d.embeddings.rows, edge=48), "i", "j", "v").withColumn("v", F.round("v", 4))
+
+
+@query(f"WITH {_BAL} SELECT i, v, CAST(count(o_orderkey) AS BIGINT) AS n, round(sum(o_totalprice), 2) AS spent FROM Bal JOIN orders ON o_custkey = i GROUP BY 1, 2")
+def block_own_key(d: Data) -> DataFrame:
+    """A group-by on the key of a tiled vector that other generators follow."""
+    text = "dataset[ (i, max/v, o.length, +/p) | (i,v) <- tensor*(n) B, (o,c,p) <- orders, c == i, group by i ]"
+    return flat(d.run(text, B=d.balances, n=d.customers, orders=d.table("orders", "o_orderkey", "o_custkey", "o_totalprice")), "i", "v", "n", "spent").withColumn("spent", F.round("spent", 2))
+
+
 @query("SELECT k, CAST(count(*) AS BIGINT) AS n FROM (SELECT unnest(string_split(n_name, '_')) AS k FROM nation) GROUP BY 1")
 def text_lines(d: Data) -> DataFrame:
     """Lines of a text file, split into fields."""

@@ -134,6 +134,9 @@ class Tensor:
     def with_df(self, df: DataFrame) -> Tensor:
         return replace(self, df=df)
 
+    def persisted(self) -> Tensor:
+        return self.with_df(self.df.persist())
+
     def named(self, *names: str) -> DataFrame:
         """Cells with other column names: one for each index, then the value's."""
         cells = self.values()

@@ -62,3 +62,28 @@ def test_full_dense_results_are_not_filled_again(spark):
     assert array(diagonal).tolist() == [[0, 0, 0], [0, 4, 0]]
     square = q(spark, "tensor(3,3)[ ((i,i), x) | (i,x) <- V ]", V=tensor(spark, np.ones(3)))
     assert array(square).tolist() == np.eye(3).tolist()
+
+
+def test_tiles_are_folded_where_they_lie(spark):
+    a = np.arange(35.0).reshape(7, 5)
+    held = q(spark, "tensor*(7,5) A", A=tensor(spark, a), edge=3).persisted()
+    out = q(spark, "[ (c, +/x) | ((r,c),x) <- T, group by c ]", T=held)
+    steps = out.df._jdf.queryExecution().executedPlan().toString().split("InMemoryRelation")[0].splitlines()
+    at = lambda x: [k for k, line in enumerate(steps) if x in line]
+    # from the bottom up: read tiles, take cells out, add them up, and only then shuffle
+    assert at("partial_sum") and max(at("Exchange hashpartitioning")) < min(at("partial_sum")) < min(at("posexplode")) < min(at("InMemoryTableScan"))
+    assert np.array_equal(array(out), a.sum(0))
+
+
+def test_groups_by_a_generators_own_key_reuse_its_join(spark):
+    v, w = (tensor(spark, np.arange(30.0), 0).persisted() for _ in range(2))
+    text = "dataset[ (i, +/y) | (i,x) <- V, (j,y) <- W, j == i, group by i ]"
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        out = q(spark, text, V=v, W=w)
+        steps = out._jdf.queryExecution().executedPlan().toString().split("InMemoryRelation")[0]
+        assert "partial_sum" in steps and sum("Exchange" in line for line in steps.split("Join")[0].splitlines()) == 0
+        assert sorted(map(tuple, out.collect())) == [(i, float(i)) for i in range(1, 30)]
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)

@@ -40,10 +40,33 @@ def test_blocks(spark, edge):
     rng = np.random.default_rng(1)
     a, b = rng.random((7, 5)), rng.random((5, 4))
     x, y = tensor(spark, a), tensor(spark, b)
-    assert np.allclose(array(block.unpacked(block.packed(x, edge), x.dims, edge)), a)
+    assert np.allclose(array(block.blocked(x, edge)), a)
     assert np.allclose(array(block.matmul(x, y, edge)), a @ b)
 
 
+@pytest.mark.parametrize("edge", [2, 3, 10])
+def test_tiled_tensors(spark, edge):
+    rng = np.random.default_rng(2)
+    a, b, v = rng.random((7, 5)), rng.random((7, 5)), rng.integers(0, 9, 7)
+    x, y, z = (block.blocked(tensor(spark, c), edge) for c in (a, b, v))
+    made = [(x + y, a + b), (x - y * 2, a - 2 * b), (1 - x, 1 - a), (x / (y + 1), a / (b + 1)), (x.t, a.T), (x.t @ y, a.T @ b), (z * z, v * v)]
+    for got, want in made:
+        assert isinstance(got, block.Blocks) and np.allclose(array(got), want)
+    assert z.kind == "bigint" and (z * z).kind == (tensor(spark, v) * tensor(spark, v)).kind
+    assert np.allclose(array(x + tensor(spark, b)), a + b) and np.allclose(array(x @ tensor(spark, b.T)), a @ b.T)
+    assert np.allclose(array(tensor(spark, a.T) @ y), a.T @ b) and np.allclose(array(x @ tensor(spark, v[:5])), a @ v[:5])
+    assert np.allclose(array(x[1:4, 0:2]), a[1:5, 0:3]) and np.allclose(array(x.persisted()), a)
+    other = block.blocked(tensor(spark, b), edge + 1)
+    assert np.allclose(array(x + other), a + b) and np.allclose(array(x.t @ other), a.T @ b)
+
+
+def test_tiles_of_flags_and_empty_tiles(spark):
+    flags = np.array([[True, False], [False, False], [True, True]])
+    held = block.blocked(tensor(spark, flags), 2)
+    assert held.kind == "boolean" and np.array_equal(array(held & block.blocked(tensor(spark, ~flags), 2)), flags & ~flags)
+    assert block.blocked(Tensor.of(spark.createDataFrame([], "i0 int, v double"), (0,)), 4).df.count() == 0
+
+
 def test_merge_override_shift(spark):
     a, b = np.array([1.0, 0, 3]), np.array([0, 5.0, 1])
     x, y = tensor(spark, a, 0), tensor(spark, b, 0)
