@@ -40,7 +40,7 @@ from arrayq.llm.spans import slices
 CAPACITY = 4096
 END_ID = 1
 SALTS = 1024
-#: Distinct words in each of the two generations of a worker's cache.
+#: Distinct words in each of the two generations of a worker's cache, unless told otherwise: more cost memory and save time, with the same result.
 CACHE_WORDS = 120_000
 _BATCH_BYTES = 2 << 20
 
@@ -149,7 +149,7 @@ def _encoder(path: str, most: int) -> WordEncoder:
     return WordEncoder(path, most)
 
 
-def pieces(docs: DataFrame, path: str | None = None, capacity: int = CAPACITY, end_id: int = END_ID) -> DataFrame:
+def pieces(docs: DataFrame, path: str | None = None, capacity: int = CAPACITY, end_id: int = END_ID, cache_words: int = CACHE_WORDS) -> DataFrame:
     """A row for each piece: doc_id, piece, start, length, ids_crc32."""
     path = path or tokenizer_path()
     narrow = docs.select("doc_id", F.col("text").cast("string").alias("text"))
@@ -157,7 +157,7 @@ def pieces(docs: DataFrame, path: str | None = None, capacity: int = CAPACITY, e
     names = ["doc_id", "piece", "start", "length", "ids_crc32"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = _encoder(path, CACHE_WORDS)
+        encoder = _encoder(path, cache_words)
         for batch in batches:
             for part in slices(batch.column(1), _BATCH_BYTES):
                 rows: list[tuple] = []
@@ -278,9 +278,9 @@ def plan(counts: np.ndarray, capacity: int = CAPACITY) -> list[tuple[int, int, i
     return runs
 
 
-def pack(docs: DataFrame, path: str | None = None, capacity: int = CAPACITY, end_id: int = END_ID) -> DataFrame:
+def pack(docs: DataFrame, path: str | None = None, capacity: int = CAPACITY, end_id: int = END_ID, cache_words: int = CACHE_WORDS) -> DataFrame:
     """A row for each piece: doc_id, piece, start, length, ids_crc32, sequence_id, offset."""
-    return place(materialise(pieces(docs, path, capacity, end_id), "packing-pieces"), capacity)
+    return place(materialise(pieces(docs, path, capacity, end_id, cache_words), "packing-pieces"), capacity)
 
 
 def place(cut: DataFrame, capacity: int = CAPACITY) -> DataFrame:
