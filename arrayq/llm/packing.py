@@ -21,21 +21,23 @@ once each; an empty table gives an empty table; extra columns are ignored.
 
 from __future__ import annotations
 
+import re
 import unicodedata
 import zlib
 from collections.abc import Iterator
 from functools import lru_cache
 from heapq import heappop, heappush
-from itertools import chain, pairwise
+from itertools import pairwise
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from arrayq.llm.shared import arrow_map, materialise
-from arrayq.llm.spans import slices
+from arrayq.llm.spans import SPACE, Texts, slices
 
 CAPACITY = 4096
 END_ID = 1
@@ -45,8 +47,13 @@ CACHE_WORDS = 120_000
 _BATCH_BYTES = 2 << 20
 
 
-#: ASCII signs other than the apostrophe: at the end of a word they are tokens of their own.
-_MARKS = bytes(b for b in range(33, 127) if not chr(b).isalnum() and chr(b) != "'")
+#: Kinds of bytes: white space, letters and digits of ASCII, its other signs but the apostrophe, all else.  Letters and digits share no token with a sign beside them.
+_SPACE, _ALNUM, _MARK, _OTHER = 0, 2, 3, 4
+_KIND = np.full(256, _OTHER, np.uint8)
+_KIND[33:127] = [_ALNUM if chr(b).isalnum() else _OTHER if chr(b) == "'" else _MARK for b in range(33, 127)]
+_KIND[SPACE] = _SPACE
+#: At the end of a word they are tokens of their own.
+_MARKS = bytes(np.flatnonzero(_KIND == _MARK).tolist())
 #: The byte-level alphabet: printable bytes stand for themselves, the others follow from 256 on; spaces stay, as they part words here.
 _SHOWN = [*range(33, 127), *range(161, 173), *range(174, 256)]
 _BYTE_LEVEL = {b: 256 + k for k, b in enumerate(b for b in range(256) if b not in _SHOWN) if b != 32}
@@ -70,39 +77,65 @@ def tokenizer_path(name: str = "word_bpe_49k.json") -> str:
 class WordEncoder:
     """Token ids of texts as little-endian 32-bit bytes, by way of a word cache.
 
-    The tokenizer lower-cases, drops white space and lets no token span it, so a
-    text's ids are those of its words (runs without ``[\\x20\\x09-\\x0D]``) one
-    after another; and signs that end a word after letters or digits share no
-    token with them.
+    The tokenizer lower-cases, drops white space and lets no token span it, nor
+    the border between a letter or digit of ASCII and a sign other than the
+    apostrophe.  So a text's ids are those of the words between these borders,
+    one after another.  A run of texts is cut in one pass over its bytes, each
+    distinct word is looked up once, and Arrow puts the ids side by side.
+
+    Names of added tokens (``<|endoftext|>``) count as the tokenizer reads them:
+    before lower-casing, and as one word.
     """
 
     def __init__(self, path: str, most: int = CACHE_WORDS) -> None:
-        from tokenizers import Tokenizer
+        from tokenizers import Tokenizer, pre_tokenizers
 
         self.tokenizer, self.most = Tokenizer.from_file(path), most
         self.bar, *more = self.tokenizer.encode("|", add_special_tokens=False).ids
         assert not more, "the bar must be one token"
+        added = self.tokenizer.get_added_tokens_decoder().values()
+        assert not any(t.normalized or t.single_word or t.lstrip or t.rstrip for t in added), "added tokens must stand for their letters alone"
+        self.added = sorted((t.content.encode() for t in added), key=len, reverse=True)
+        self.added_name = re.compile(b"|".join(map(re.escape, self.added)))
+        borders = [self._begins(_KIND[np.frombuffer(name, np.uint8)], np.array([0, len(name)])).sum() - 1 for name in self.added]
+        assert all(n and name.lower().split() == [name] for n, name in zip(borders, self.added, strict=True)), "no other word may read like an added token"
+        # the model alone, on words of bytes that are shown; a word's last token is one that closes words
+        self.model = Tokenizer(self.tokenizer.model)
+        self.model.pre_tokenizer = pre_tokenizers.CharDelimiterSplit(" ")
+        vocabulary = self.tokenizer.get_vocab(with_added_tokens=True)
+        self.closes = np.zeros(max(vocabulary.values()) + 1, bool)
+        suffix = getattr(self.tokenizer.model, "end_of_word_suffix", None)
+        self.closes[[i for name, i in vocabulary.items() if suffix and name.endswith(suffix)]] = True
         # does the model see a word of small letters as its bytes?
-        self.plain = all(self._letters(w.encode()) == self._alone(w.encode()) for w in ("a", "plain", "words", "qxzjvkw", "é", "größe", "señal", "日本語"))
+        sample = [w.encode() for w in ("a", "plain", "words", "qxzjvkw", "é", "größe", "señal", "日本語")]
+        self.plain = bool(suffix) and self._letters(sample) == [self._alone(w) for w in sample]
         self.cache: dict[bytes, bytes] = {}
         self.older: dict[bytes, bytes] = {}
+        signs = "".join(f"a{chr(m)}b {chr(m)}1" for m in _MARKS).encode()
+        assert self.encode([signs]) == [self._alone(signs)], "letters and digits must share no token with signs"
+        self.cache = {}
 
     def _alone(self, word: bytes) -> bytes:
         return np.array(self.tokenizer.encode(word.decode(), add_special_tokens=False).ids, "<u4").tobytes()
 
-    def _letters(self, word: bytes) -> bytes:
-        """The ids of a word of small letters, by the model alone."""
-        return np.array([t.id for t in self.tokenizer.model.tokenize(word.decode("latin-1").translate(_BYTE_LEVEL))], "<u4").tobytes()
+    def _letters(self, words: list[bytes]) -> list[bytes]:
+        """The ids of words of small letters, by the model alone."""
+        out: list[bytes] = []
+        for i in range(0, len(words), 1000):
+            some = words[i : i + 1000]
+            line = b" ".join(some).decode("latin-1").translate(_BYTE_LEVEL)
+            ids = np.array(self.model.encode_batch_fast([line], add_special_tokens=False)[0].ids, "<u4")
+            ends = np.flatnonzero(self.closes[ids]) + 1
+            assert len(ends) == len(some)
+            flat = ids.tobytes()
+            out += [flat[a:b] for a, b in pairwise([0, *(ends * 4).tolist()])]
+        return out
 
     def _learn(self, words: list[bytes]) -> None:
         """Puts the ids of ``words`` into the cache; words with other characters than letters go through the whole tokenizer in one line, bars between."""
         if self.plain:
             letters = [w for w in words if w.isalpha() or _small_letters(w)]
-            tokenize = self.tokenizer.model.tokenize
-            found = [[t.id for t in tokenize(w)] for w in b" ".join(letters).decode("latin-1").translate(_BYTE_LEVEL).split(" ") if w]
-            flat, at = np.fromiter(chain.from_iterable(found), "<u4").tobytes(), 0
-            for w, ids in zip(letters, found, strict=True):
-                self.cache[w] = flat[at : (at := at + 4 * len(ids))]
+            self.cache.update(zip(letters, self._letters(letters), strict=True))
             words = list(set(words).difference(letters))
         plain = [w for w in words if b"|" not in w]
         for i in range(0, len(plain), 1000):
@@ -117,20 +150,18 @@ class WordEncoder:
                 at = end + 4
         self.cache |= {w: self._alone(w) for w in words if b"|" in w}
 
-    def _known(self, words: set[bytes]) -> set[bytes]:
+    def _missing(self, words: list[bytes]) -> list[bytes]:
         """Words that neither generation has; those of the older one move to the newer."""
-        missing = words - self.cache.keys()
-        again = missing & self.older.keys()
-        self.cache |= {w: self.older[w] for w in again}
-        return missing - again
+        cache, older = self.cache, self.older
+        cache |= {w: older[w] for w in words if w in older}
+        return [w for w in words if w not in cache]
 
-    def encode(self, texts: list[bytes]) -> list[bytes]:
-        """The ids of each text (UTF-8)."""
-        # bytes.lower() folds A-Z only and bytes.split() cuts at exactly the six ASCII spaces
-        split = [t.lower().split() for t in texts]
+    def _known(self, words: list[bytes]) -> list[bytes]:
+        """The ids of each of ``words``, which differ."""
         if len(self.cache) > self.most:
             self.cache, self.older = {}, self.cache
-        unknown = self._known(set().union(*split))
+        found = list(map(self.cache.get, words))
+        unknown = self._missing([w for w, ids in zip(words, found, strict=True) if ids is None])
         tailed = []
         for w in unknown:
             if w[-1] in _MARKS:
@@ -138,10 +169,54 @@ class WordEncoder:
                 if head.isalnum() or _small_letters(head):
                     tailed.append((w, head, w[len(head) :]))
         parts = {x for _, *both in tailed for x in both}
-        self._learn(list(self._known(unknown.difference(w for w, _, _ in tailed) | parts)))
+        self._learn(self._missing(list(parts.union(unknown).difference(w for w, _, _ in tailed))))
         cache = self.cache
         cache |= {w: cache[head] + cache[tail] for w, head, tail in tailed}
-        return [b"".join(map(cache.__getitem__, words)) for words in split]
+        return [cache[w] if ids is None else ids for w, ids in zip(words, found, strict=True)]
+
+    @staticmethod
+    def _begins(kind: np.ndarray, at: np.ndarray) -> np.ndarray:
+        """Where words begin in texts that lie at ``at``, by the kinds of their bytes."""
+        out = np.ones(len(kind), bool)
+        out[1:] = (kind[:-1] == _SPACE) | ((kind[1:] ^ kind[:-1]) == (_ALNUM ^ _MARK))
+        out[at[:-1][at[:-1] < len(kind)]] = True
+        return out & (kind != _SPACE)
+
+    def encoded(self, texts: Texts) -> tuple[np.ndarray, pa.Buffer]:
+        """The ids of all texts in one buffer, and where in it each text's begin (one more at the end)."""
+        kind = _KIND[texts.data]
+        begins, inside = self._begins(kind, texts.at), kind != _SPACE
+        raw = texts.data.tobytes()
+        if any(name in raw for name in self.added):
+            for a, b in pairwise(texts.at.tolist()):
+                for name in self.added_name.finditer(raw, a, b):
+                    first, end = name.span()
+                    begins[first:end] = False
+                    begins[first] = True
+                    if end < b:
+                        begins[end] = inside[end]
+        # without white space, each word ends where the next begins
+        kept = Texts(texts.data[inside], texts.at).lowered().data
+        bounds = pa.py_buffer(np.append(np.flatnonzero(begins[inside]), len(kept)))
+        words_at = np.searchsorted(np.flatnonzero(begins), texts.at)
+        words = pa.Array.from_buffers(pa.large_binary(), int(words_at[-1]), [None, bounds, pa.py_buffer(kept)]).dictionary_encode()
+        if not len(words):
+            return np.zeros(len(texts.at), np.int64), pa.py_buffer(b"")
+        ids = pa.array(self._known(_distinct(words.dictionary)), pa.large_binary()).take(words.indices)
+        return np.frombuffer(ids.buffers()[1], np.int64)[ids.offset :][words_at], ids.buffers()[2] or pa.py_buffer(b"")
+
+    def encode(self, texts: list[bytes]) -> list[bytes]:
+        """The ids of each text (UTF-8)."""
+        at = np.concatenate(([0], np.cumsum([len(t) for t in texts], dtype=np.int64)))
+        offsets, ids = self.encoded(Texts(np.frombuffer(b"".join(texts), np.uint8), at))
+        held = memoryview(ids)
+        return [held[a:b].tobytes() for a, b in pairwise(offsets.tolist())]
+
+
+def _distinct(words: pa.Array) -> list[bytes]:
+    """Some words, which hold no spaces, as a list."""
+    rows = pa.LargeListArray.from_arrays(pa.array([0, len(words)], pa.int64()), words)
+    return pc.binary_join(rows, pa.scalar(b" ", words.type))[0].as_py().split(b" ")
 
 
 @lru_cache(2)
@@ -161,9 +236,14 @@ def pieces(docs: DataFrame, path: str | None = None, capacity: int = CAPACITY, e
         for batch in batches:
             for part in slices(batch.column(1), _BATCH_BYTES):
                 rows: list[tuple] = []
-                for i, ids in enumerate(encoder.encode([part.data[a:b].tobytes() for a, b in pairwise(part.at.tolist())]), part.first):
-                    ids += end
-                    rows += [(i, k, at // 4, min(capacity, (len(ids) - at) // 4), zlib.crc32(ids[at : at + 4 * capacity])) for k, at in enumerate(range(0, len(ids), 4 * capacity))]
+                offsets, held = encoder.encoded(part)
+                with memoryview(held) as ids:
+                    for i, (a, b) in enumerate(pairwise(offsets.tolist()), part.first):
+                        n = (b - a) // 4 + 1
+                        for k, at in enumerate(range(0, n, capacity)):
+                            own = min(capacity, n - at)
+                            crc = zlib.crc32(ids[a + 4 * at : min(b, a + 4 * (at + own))])
+                            rows.append((i, k, at, own, zlib.crc32(end, crc) if at + own == n else crc))
                 at, *rest = zip(*rows, strict=True)
                 kinds = (pa.int32(), pa.int64(), pa.int64(), pa.int64())
                 yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(at)), *(pa.array(x, k) for x, k in zip(rest, kinds, strict=True))], names)

@@ -177,6 +177,25 @@ def test_packing_against_the_tokenizer(spark):
     assert packing.pack(frame(spark, []).limit(0)).count() == 0
 
 
+def test_word_ids_against_the_tokenizer():
+    encoder = packing.WordEncoder(packing.tokenizer_path(), most=300)
+    parts = ["a", "The", "don't", "x's,", "1", "23.5%", "é", "é", "É.", "größe!", "日本", "😀", "≠", "<", "|", "'", "’", "--", " ", "\u0085", "\x00", " ", "\t\x0b", "\n", "K", "Σς", "½", "<|endoftext|>", "<|ENDOFTEXT|>", "<|startoftext|>", "<|endoftext", "|>"]
+    rng = random.Random(5)
+    texts = ["", " ", "\u00a0", "<|ENDOFTEXT|>", "a<|endoftext|>", "b", "<|endof", "text|>"] + ["".join(rng.choices(parts, k=rng.randint(1, 30))) for _ in range(1500)]
+    for some in (texts[1:3], texts):
+        want = [encoder.tokenizer.encode(t, add_special_tokens=False).ids for t in some]
+        assert [np.frombuffer(x, "<u4").tolist() for x in encoder.encode([t.encode() for t in some])] == want
+    assert encoder.plain and encoder.encode([]) == []
+
+
+def test_signs_make_no_new_words():
+    encoder = packing.WordEncoder(packing.tokenizer_path())
+    encoder.encode([b"alpha-beta, (gamma) it's delta"])
+    before = set(encoder.cache)
+    encoder.encode([b"beta-alpha (delta) gamma/beta, alpha/gamma-delta Delta,alpha"])
+    assert set(encoder.cache) - before == {b"/"}
+
+
 # --- SentencePiece
 
 ODD = ["", " ", "  a  b\n\tc ", "aaaa" * 50, "日本語 text", "\n\n\n", "é́ ñ 😀😀", "x" * 5000, "<s> </s> <unk> <0x0A>", "a\x00b", "tab\t\ttab   end   ", " lead", "\r\n\r\n  x", "Don't stop; it's 3.14%!"]
