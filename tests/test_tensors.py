@@ -44,6 +44,23 @@ def test_blocks(spark, edge):
     assert np.allclose(array(block.matmul(x, y, edge)), a @ b)
 
 
+def _plan(t):
+    return t.df._jdf.queryExecution().executedPlan().toString()
+
+
+def test_narrow_products_copy_nothing_for_each_result_tile(spark):
+    rng = np.random.default_rng(5)
+    wide = [rng.random((n, 3)) for n in (24, 48)]
+    a, b = tensor(spark, wide[0]), tensor(spark, wide[1].T)
+    out = block.matmul(a, b, 4)
+    assert "CartesianProduct" in _plan(out) and "explode(sequence(" not in _plan(out)
+    assert np.allclose(array(out), wide[0] @ wide[1].T)
+    # absent rows and nulls count as zero
+    holes = a.with_df(a.df.where("i0 <> 7 and i0 < 20").selectExpr("i0", "i1", "if(i0 = 3, null, v) v"))
+    kept = wide[0] * ~np.isin(np.arange(24), [3, 7, 20, 21, 22, 23])[:, None]
+    assert np.allclose(array(block.matmul(holes, b, 4)), kept @ wide[1].T)
+
+
 @pytest.mark.parametrize("edge", [2, 3, 10])
 def test_tiled_tensors(spark, edge):
     rng = np.random.default_rng(2)
