@@ -61,6 +61,14 @@ def test_narrow_products_copy_nothing_for_each_result_tile(spark):
     assert np.allclose(array(block.matmul(holes, b, 4)), kept @ wide[1].T)
 
 
+def test_coordinate_products_with_few_shared_indices_are_not_joined_on_them(spark):
+    rng = np.random.default_rng(6)
+    x, y = rng.random((block.EDGE + 3, 2)), rng.random((2, block.EDGE + 1))
+    out = tensor(spark, x) @ tensor(spark, y)
+    assert type(out).__name__ == "Tensor" and out.is_dense and "CartesianProduct" in _plan(out)
+    assert np.allclose(array(out), x @ y)
+
+
 @pytest.mark.parametrize("edge", [2, 3, 10])
 def test_tiled_tensors(spark, edge):
     rng = np.random.default_rng(2)
