@@ -69,6 +69,22 @@ def test_coordinate_products_with_few_shared_indices_are_not_joined_on_them(spar
     assert np.allclose(array(out), x @ y)
 
 
+def test_sparse_products_are_dealt_out_by_their_number(spark, monkeypatch):
+    rng = np.random.default_rng(7)
+    a, b = (rng.integers(0, 3, shape).astype(float) for shape in ((9, 6), (6, 8)))
+    a[:, 1] = b[1] = 2
+    monkeypatch.setattr(algebra, "HELD", 10)
+    monkeypatch.setattr(algebra, "PRODUCTS", 20)
+    out = tensor(spark, a, 0) @ tensor(spark, b, 0)
+    parts = -(-int((a > 0).sum(0) @ (b > 0).sum(1)) // 20)
+    assert _plan(out).count(f", {parts}), REPARTITION_BY_NUM") == 3
+    assert np.array_equal(array(out), a @ b)
+    # a result that a task can hold is combined before the shuffle
+    monkeypatch.setattr(algebra, "HELD", 1000)
+    held = tensor(spark, a, 0) @ tensor(spark, b, 0)
+    assert "REPARTITION_BY_NUM" not in _plan(held) and np.array_equal(array(held), a @ b)
+
+
 @pytest.mark.parametrize("edge", [2, 3, 10])
 def test_tiled_tensors(spark, edge):
     rng = np.random.default_rng(2)
