@@ -26,6 +26,8 @@ if TYPE_CHECKING:
     from arrayq.plans.program import Program
 
 _COUNT = ("length", "size")
+#: Expressions that give equal values for equal rows and need nothing but the row.
+_PLAIN = (A.Var, A.Const, A.Binary, A.Unary, A.Tuple, A.Field)
 
 
 @dataclass
@@ -50,6 +52,8 @@ class Compiler:
         self.program = program
         self.spark = program.spark
         self.counter = 0
+        #: By generator: rows that stand for its domain's (see :meth:`counted`).
+        self.held: dict[A.Node, DataFrame] = {}
         #: By alias: an aggregate's partial form, how partial ones merge, and whether it folds a list.
         self.steps: dict[str, tuple[Column, Any, bool]] = {}
 
@@ -61,6 +65,7 @@ class Compiler:
     def comprehension(self, c: A.Comprehension) -> Relation:
         quals, head = self.lowered(rewrite.flattened(c.quals), c.head)
         quals = rewrite.without_ranges(quals, self.is_constant)
+        quals, head = self.counted(quals, head)
         return self.compiled(quals, head, Scope())
 
     def compiled(self, quals: list[A.Node], head: A.Node, scope: Scope) -> Relation:
@@ -123,6 +128,71 @@ class Compiler:
         head = changed(head)
         return out, head
 
+    def counted(self, quals: list[A.Node], head: A.Node) -> tuple[list[A.Node], A.Node]:
+        """Joins whose groups are only counted: frames are counted by what the rest needs of them, and joined after that.
+
+        So the join makes a row for each pair of distinct values, not of rows, and
+        a group's count is the sum of the products of the counts.
+        """
+        stop = next((k for k, q in enumerate(quals) if isinstance(q, A.GroupBy)), None)
+        if stop is None:
+            return quals, head
+        generators = [q for q in quals[:stop] if isinstance(q, A.Generator)]
+        conditions = [q for q in quals[:stop] if isinstance(q, A.Predicate)]
+        names = [n for g in generators for n in A.bound_names(g.pattern)]
+        group = quals[stop]
+        exprs = [*(q.cond for q in conditions), group.key]
+        if len(generators) < 2 or len(generators) + len(conditions) < stop or len(set(names)) < len(names) or not A.free_names(group.key) & set(names):
+            return quals, head
+        if any(A.free_names(g.domain) & set(names) for g in generators) or not all(isinstance(x, _PLAIN) for e in exprs for x in walk(e)):
+            return quals, head
+        bagged = set(names) - set(A.bound_names(group.pattern))
+        counts = lambda x: isinstance(x, A.Method) and x.name in _COUNT and isinstance(x.base, A.Var) and x.base.name in bagged
+        only = lambda x: counts(x) or not isinstance(x, (A.Lambda, A.Comprehension)) and not (isinstance(x, A.Var) and x.name in bagged) and all(map(only, x.children()))
+        after = [*quals[stop + 1 :], head]
+        if not all(map(only, after)) or not any(counts(x) for e in after for x in walk(e)):
+            return quals, head
+        weights: list[A.Node] = []
+        made: dict[A.Generator, A.Generator] = {}
+        for g in generators:
+            own = set(A.bound_names(g.pattern))
+            source = self.program.maybe(g.domain.name) if isinstance(g.domain, A.Var) and not g.full else None
+            if not isinstance(source, DataFrame) or not own:
+                continue
+            inner = Scope()
+            self._source(g, source, inner, [])
+            filters = [q for q in conditions if A.free_names(q.cond) & set(names) and not A.free_names(q.cond) & set(names) - own]
+            kept: dict[A.Node, tuple[str, Val]] = {}
+            needed = [x for q in conditions if q not in filters for x in _largest(q.cond, own, set(names))] + _largest(group.key, own, set(names))
+            values = [unpacked(self.row(x, inner)) for x in needed]
+            if not needed or not all(isinstance(v, Val) for v in values):
+                continue
+            for q in filters:
+                self.filter(self.row(q.cond, inner), inner)
+            for x, v in zip(needed, values, strict=True):
+                same = next((n for n, w in kept.values() if str(w.col) == str(v.col)), None)
+                kept[x] = (same or self.fresh("x"), v)
+            columns = dict(kept.values())
+            names += columns
+            weight = self.fresh("w")
+            rows = inner.df.groupBy(*[v.col.alias(n) for n, v in columns.items()]).agg(F.count(F.lit(1)).alias(weight))
+            made[g] = A.Generator(A.TuplePat([A.VarPat(n) for n in (*columns, weight)]), g.domain)
+            self.held[made[g]] = rows
+            weights.append(A.Var(weight))
+            changed = lambda x, kept=kept: A.Var(kept[x][0]) if x in kept else A.rebuilt(x, changed) if not isinstance(x, _PATTERNS) else x  # noqa: B023, E731
+            replaced = {q: A.Predicate(changed(q.cond)) for q in conditions if q not in filters}
+            quals = [replaced.get(q, q) for q in quals if q not in filters]
+            group = A.GroupBy(group.pattern, changed(group.key))
+            conditions = list(replaced.values())
+        if not weights:
+            return quals, head
+        product = weights[0]
+        for w in weights[1:]:
+            product = A.Binary("*", product, w)
+        summed = lambda x: A.Reduce("+", product) if counts(x) else x if isinstance(x, _PATTERNS) else A.rebuilt(x, summed)
+        at = next(k for k, q in enumerate(quals) if isinstance(q, A.GroupBy))
+        return [*(made.get(q, q) for q in quals[:at]), group, *map(summed, quals[at + 1 :])], summed(head)
+
     # --- generators
     def generator(self, q: A.Generator, scope: Scope, rest: list[A.Node]) -> None:
         domain = q.domain
@@ -130,6 +200,8 @@ class Compiler:
             return self._range(q, domain, scope, rest)
         if isinstance(domain, A.ListE) and not A.free_names(domain) & set(scope.env):
             return self._source(q, self.program.value(domain), scope, rest)
+        if q in self.held:
+            return self._source(q, self.held.pop(q), scope, rest)
         if A.free_names(domain) & set(scope.env):
             self.nested(domain, scope)
             return self._explode(q, self.row(domain, scope), scope)
@@ -708,6 +780,15 @@ class Compiler:
         return method(column_of(base), e.name, [column_of(self.row(a, scope)) for a in e.args])
 
 
+_PATTERNS = (A.VarPat, A.TuplePat, A.AnyPat, A.ConstPat)
+
+
+def _largest(node: A.Node, own: set[str], names: set[str]) -> list[A.Node]:
+    """The largest parts of an expression that need variables of ``own`` and no others of ``names``."""
+    used = A.free_names(node) & names
+    return [node] if used and used <= own else [x for c in node.children() for x in _largest(c, own, names)]
+
+
 def walk(node: A.Node) -> list[A.Node]:
     """A node and everything below it."""
     return [node, *(x for c in node.children() for x in walk(c))]

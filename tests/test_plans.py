@@ -87,3 +87,36 @@ def test_groups_by_a_generators_own_key_reuse_its_join(spark):
         assert sorted(map(tuple, out.collect())) == [(i, float(i)) for i in range(1, 30)]
     finally:
         spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+
+
+def test_counted_joins_meet_counts_not_rows(spark):
+    a = [(k % 7, None if k % 5 == 0 else k % 3, k) for k in range(40)] * 2
+    b = [(k % 3, "x" if k % 2 else None, k % 4) for k in range(30)]
+    left, right = spark.createDataFrame(a, "g int, j int, r int"), spark.createDataFrame(b, "j int, n string, r int")
+    text = "dataset[ (g, x.length * 2, m.size) | (g, i, x) <- A, x > 3, (j, n, m) <- B, j == i, m % 2 == x % 2, group by g, n.length > 0 ]"
+    want = {}
+    for g, i, x in a:
+        for j, _, m in b:
+            if x > 3 and i == j and m % 2 == x % 2:
+                want[g] = want.get(g, 0) + 1
+    out = q(spark, text, A=left, B=right)
+    assert sorted(tuple(r) for r in out.collect()) == sorted((g, 2 * n, n) for g, n in want.items())
+    # both sides are grouped before they meet
+    assert plan(out).count("Aggregate") == 3
+    # a key of both sides, with nulls; a key that is null
+    both = q(spark, "dataset[ (k, x.length) | (g, i, x) <- A, (j, n, m) <- B, j == i, group by k: (n, x % 2) ]", A=left, B=right)
+    pairs = {}
+    for _, i, x in a:
+        for j, n, _ in b:
+            if i is not None and i == j:
+                pairs[n, x % 2] = pairs.get((n, x % 2), 0) + 1
+    assert {tuple(r[0]) if len(r) == 2 else tuple(r[:-1]): r[-1] for r in both.collect()} == pairs
+    # other reductions see the rows themselves
+    sums = q(spark, "dataset[ (g, x.length, +/m) | (g, i, x) <- A, (j, n, m) <- B, j == i, group by g ]", A=left, B=right)
+    assert plan(sums).count("Aggregate") == 1
+    # sides that nothing ties, one of them empty
+    none = q(spark, "dataset[ (g, x.length) | (g, i, x) <- A, (j, n, m) <- B, m > 9, group by g ]", A=left, B=right)
+    assert none.count() == 0
+    loose = q(spark, "dataset[ (g, m.length) | (g, i, x) <- A, (j, n, m) <- B, m < 2, group by g ]", A=left, B=right)
+    near = sum(m < 2 for *_, m in b)
+    assert sorted(map(tuple, loose.collect())) == sorted((g, near * sum(r[0] == g for r in a)) for g in {r[0] for r in a})
